@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annulus.llm import mixing, secrets, sharding
+from annulus.llm import mixing, neardup, neighbours, secrets, sharding
 from annulus.llm.common import table
 
 
@@ -16,12 +16,21 @@ def op2_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_neardup(spark, sf_dir):
+    found = neardup.group(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secrets, op2_mixing, op4_sharding)}
+    return {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_sharding, op9_neardup)}
 
 
 #: Op 2 in DuckDB: the level is found by running sums over the sources in the order in which they fill, and the random order is the one of the engine (60 bits of an MD5).
