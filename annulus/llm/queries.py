@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annulus.llm import mixing, neardup, neighbours, secrets, sharding
+from annulus.llm import bpe, mixing, neardup, neighbours, secrets, sharding, urls
 from annulus.llm.common import table
 
 
@@ -24,13 +24,23 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), urls.labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digest(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def op9_neardup(spark, sf_dir):
     found = neardup.group(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def queries():
-    return {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_sharding, op9_neardup)}
+    return {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_sharding, op5_urls, op8_bpe, op9_neardup)}
 
 
 #: Op 2 in DuckDB: the level is found by running sums over the sources in the order in which they fill, and the random order is the one of the engine (60 bits of an MD5).
