@@ -28,12 +28,17 @@ def n_words(text: Column) -> Column:
     return F.when(F.size(parts) == 1, 1 - empty(parts[0])).otherwise(F.size(parts) - empty(F.element_at(parts, 1)) - empty(F.element_at(parts, -1))).cast("long")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the shared folder that the cluster names."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of its own where none is named."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annulus-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, kept in the shared folder that the cluster names."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

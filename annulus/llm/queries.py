@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from annulus.llm import bpe, mixing, neardup, neighbours, secrets, sharding, urls
+from annulus.llm import bpe, language, mixing, neardup, neighbours, pii, quality, secrets, sharding, urls
 from annulus.llm.common import table
 
 
@@ -28,6 +28,17 @@ def op5_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), urls.labelled_urls(spark)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_quality(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = language.held_out(F.col("doc_id"))
+    return language.identify(docs, language.learn(docs.filter(~out))).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -39,8 +50,13 @@ def op9_neardup(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), neardup.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_pii(spark, sf_dir):
+    replaced = pii.replace(table(spark, sf_dir, "documents"))
+    return replaced.select("row.doc_id", "row.text", F.size("spans").cast("long").alias("n_entities"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_sharding, op5_urls, op8_bpe, op9_neardup)}
+    return {f.__name__: f for f in (op1_secrets, op2_mixing, op3_neighbours, op4_sharding, op5_urls, op6_quality, op7_language, op8_bpe, op9_neardup, op10_pii)}
 
 
 #: Op 2 in DuckDB: the level is found by running sums over the sources in the order in which they fill, and the random order is the one of the engine (60 bits of an MD5).
