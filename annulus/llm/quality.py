@@ -89,4 +89,5 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     table = literal_array(weights(docs, labels))
     judged = base(docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))).withColumn("features", ngrams(F.col("words")))
     score = F.when(F.size("features") > 0, F.aggregate("features", F.lit(0.0), lambda a, f: a + F.get(table, f)) / F.size("features")).otherwise(0.0)
-    return judged.withColumn("score", score).drop("words", "features").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # A filter on kept must not be pushed below what it is made from, where the optimizer would repeat every array expression. It isn't pushed through a generator; this one makes one row of each.
+    return judged.withColumn("score", score).drop("words", "features").withColumn("kept", F.explode(F.array(~F.col("base_failed") & (F.col("score") >= threshold))))
