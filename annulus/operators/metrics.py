@@ -101,13 +101,13 @@ def streaks(probes: DataFrame, by: str, order: list[str], failed: str) -> DataFr
     return each.groupBy(by).agg(F.max("n").alias("longest"))
 
 
-def stop_window(samples: DataFrame, by: str, at: str, rejected: str, done: str) -> DataFrame:
-    """(by, first_rejected, last_rejected, resumed): from cumulative counters, when rejections were first and last seen to grow, and the first growth of successes after the last. A later rejection opens the window again."""
+def stop_window(samples: DataFrame, by: str, at: str, busy: str, done: str, seen: str) -> DataFrame:
+    """(by, first_busy, last_busy, first_ok): from cumulative counters sampled over time, the first sample being the baseline. busy counts rejections, done successful writes, and seen is the number of rejections known to the last successful write when it started. The window closes at the first sample, from the last one in which busy grew, with a write that knew of all rejections; a later rejection opens it again."""
     order = W.partitionBy(by).orderBy(at)
-    grew = lambda c: F.coalesce(F.col(c) > F.lag(c).over(order), F.col(c) > 0)
-    seen = samples.withColumn("busy", grew(rejected)).withColumn("went", grew(done))
-    seen = seen.withColumn("last", F.max(F.when(F.col("busy"), F.col(at))).over(W.partitionBy(by)))
-    return seen.groupBy(by).agg(F.min(F.when(F.col("busy"), F.col(at))).alias("first_rejected"), F.max("last").alias("last_rejected"), F.min(F.when(F.col("went") & (F.col(at) > F.col("last")), F.col(at))).alias("resumed"))
+    marked = samples.withColumn("grew", F.coalesce(F.col(busy) > F.lag(busy).over(order), F.lit(False))).withColumn("at_first", F.first(done).over(order))
+    marked = marked.withColumn("last", F.max(F.when(F.col("grew"), F.col(at))).over(W.partitionBy(by)))
+    closes = (F.col(at) >= F.col("last")) & (F.col(done) > F.col("at_first")) & (F.col(seen) >= F.col(busy))
+    return marked.groupBy(by).agg(F.min(F.when(F.col("grew"), F.col(at))).alias("first_busy"), F.max("last").alias("last_busy"), F.min(F.when(closes, F.col(at))).alias("first_ok"))
 
 
 def islands(intervals: DataFrame, by: str, start: str, end: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from annulus.plans import placement
+from annulus.plans import keyspace, placement
 
-PARTS = (placement,)
+PARTS = (placement, keyspace)
 
 
 def queries():
