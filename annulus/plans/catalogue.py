@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from annulus.plans import keyspace, placement
+from annulus.plans import keyspace, measurement, placement
 
-PARTS = (placement, keyspace)
+PARTS = (placement, keyspace, measurement)
 
 
 def queries():
