@@ -11,8 +11,8 @@ from annulus.llm.common import literal_array, words
 
 #: Hashed features: words and pairs of neighbouring words, in lower case.
 FEATURES = 1 << 13
-#: Count added to each feature on both sides.
-SMOOTHING = 1.0
+#: N-grams of the raw corpus that are added to the target, in its own shares: with few trusted documents all ratios are near one.
+PRIOR = 4.0 * FEATURES
 #: Most trusted documents whose n-grams make the target: those of the smallest hash.
 MOST_TRUSTED = 20_000
 #: Least mean log-likelihood ratio of a document that is kept, in nats an n-gram.
@@ -65,7 +65,7 @@ def ngrams(tokens: Column) -> Column:
 
 
 def weights(docs: DataFrame, labels: DataFrame) -> list[float]:
-    """For each feature, the log of its smoothed share in the trusted target over its share in the raw corpus. Counts cover every document; the target is at most MOST_TRUSTED documents that labels call good (quality 1, not toxic). No such document: all zero."""
+    """For each feature, the log of its share in the trusted target (with PRIOR n-grams of the raw corpus added) over its share in the raw corpus. Counts cover every document; the target is at most MOST_TRUSTED documents that labels call good (quality 1, not toxic). No such document: all zero."""
     good = labels.filter((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
     trusted = good.select(F.col("doc_id").alias("good_id")).distinct().orderBy(F.xxhash64("good_id"), "good_id").limit(MOST_TRUSTED)
     each = docs.select("doc_id", words(F.col("text")).alias("words")).join(F.broadcast(trusted), F.col("doc_id") == F.col("good_id"), "left")
@@ -75,9 +75,8 @@ def weights(docs: DataFrame, labels: DataFrame) -> list[float]:
         raw[r["feature"]], target[r["feature"]] = r["raw"], r["target"]
     if not sum(target):
         return [0.0] * FEATURES
-    share = lambda n, xs: (n + SMOOTHING) / (sum_of[id(xs)] + SMOOTHING * FEATURES)
-    sum_of = {id(raw): sum(raw), id(target): sum(target)}
-    return [log(share(t, target) / share(r, raw)) for t, r in zip(target, raw, strict=True)]
+    all_raw, all_target = sum(raw), sum(target)
+    return [log((t * all_raw / r + PRIOR) / (all_target + PRIOR)) if r else 0.0 for t, r in zip(target, raw, strict=True)]
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
