@@ -20,12 +20,12 @@ def portable_token(text: Column) -> Column:
 
 def to_unsigned(token: Column) -> Column:
     """An order-preserving signed token as the unsigned number that it stands for."""
-    return token.cast("decimal(20,0)") + F.lit(TOP).cast("decimal(20,0)")
+    return token.cast("decimal(20,0)") + F.lit(str(TOP)).cast("decimal(20,0)")
 
 
 def to_signed(token: Column) -> Column:
     """The reverse of to_unsigned."""
-    return (token.cast("decimal(20,0)") - F.lit(TOP).cast("decimal(20,0)")).cast("long")
+    return (token.cast("decimal(20,0)") - F.lit(str(TOP)).cast("decimal(20,0)")).cast("long")
 
 
 def xxh3_token(key: Column, seed: int) -> Column:

@@ -1 +1,71 @@
+"""Readers and writers of event logs, result folders, profiles and tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+
+def event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, malformed) of a JSONL log: events as (unix_ms, line, event, fields as a variant, whose large integers stay exact). Lines keep their order in their file."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).filter(F.trim("value") != "")
+    parsed = lines.withColumn("v", F.try_parse_json("value"))
+    get = lambda at, kind: F.try_variant_get("v", at, kind)
+    ok = F.col("v").isNotNull() & get("$.event", "string").isNotNull() & get("$.unix_ms", "bigint").isNotNull()
+    events = parsed.filter(ok).select(get("$.unix_ms", "bigint").alias("unix_ms"), "file", "line", get("$.event", "string").alias("event"), F.try_variant_get("v", "$.fields", "variant").alias("fields"))
+    return events, parsed.filter(~F.coalesce(ok, F.lit(False))).select("file", "line", "value")
+
+
+def run_folder(spark: SparkSession, path: str, mode: str | None = None) -> DataFrame:
+    """Summaries of runs (one JSON document in each), those of a mode; latency runs get a kind from their name's prefix."""
+    runs = spark.read.option("multiLine", True).json(f"{path}/*/summary.json").withColumn("run", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    kind = F.when(F.startswith("run", F.lit("latency-")), "latency").when(F.startswith("run", F.lit("overload-")), "overload").otherwise("other")
+    return (runs.filter(F.col("mode") == mode) if mode else runs).withColumn("kind", kind)
+
+
+def profile_log(spark: SparkSession, path: str) -> DataFrame:
+    """(file, name, bucket, n): the last cumulative line of each histogram in each file; lines are: ms role name count sum bucket:count..."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") >= 5)
+    last = lines.groupBy("file", F.col("f")[2].alias("name")).agg(F.max_by("f", "line").alias("f"))
+    pair = F.split("pair", ":")
+    return last.select("file", "name", F.explode(F.slice("f", 6, 1 << 20)).alias("pair")).select("file", "name", pair[0].cast("int").alias("bucket"), pair[1].cast("long").alias("n"))
+
+
+def benchmark_csv(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+
+
+def samples_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("sep", "\t").csv(path)
+
+
+def write_event_log(events: DataFrame, path: str) -> None:
+    """JSONL with (event, unix_ms, fields)."""
+    events.select("event", "unix_ms", "fields").write.mode("append").json(path)
+
+
+def write_tsv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).option("sep", "\t").csv(path)
+
+
+def write_state(rows: DataFrame, path: str) -> None:
+    """A table as it is now, replacing what was there."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def markdown(rows: DataFrame, limit: int = 1_000) -> str:
+    """A small result as a Markdown table."""
+    head = f"| {' | '.join(rows.columns)} |\n|{' --- |' * len(rows.columns)}"
+    return "\n".join([head, *[f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows.limit(limit).collect()]])
+
+
+def generated(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
+    """(key, value): a reproducible data set of n keys."""
+    return spark.range(n).select(F.col("id").alias("key"), F.sha2(F.concat_ws(":", F.lit(seed).cast("string"), F.col("id").cast("string")), 256).alias("value"))
+
+
+def latest_milestones(events: DataFrame, name: str) -> DataFrame:
+    """The last event of a name in each file, in (unix_ms, line) order."""
+    order = W.partitionBy("file").orderBy(F.desc("unix_ms"), F.desc("line"))
+    return events.filter(F.col("event") == name).withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")

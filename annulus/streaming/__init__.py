@@ -1 +1,63 @@
+"""Structured Streaming versions of windows, deduplication, ordered application, and expiry."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+
+def tumbling(stream: DataFrame, at: str, length: str, late: str, by: list[str], *aggregates) -> DataFrame:
+    """Aggregates, with the window's `start`, over tumbling windows of event time (a timestamp with zone); rows later than `late` are dropped."""
+    grouped = stream.withWatermark(at, late).groupBy(F.window(at, length).alias("_w"), *by).agg(*aggregates)
+    return grouped.withColumn("start", F.col("_w.start")).drop("_w")
+
+
+def deduplicated(stream: DataFrame, at: str, retention: str, keys: list[str]) -> DataFrame:
+    """The first of each mutation id within its retention."""
+    return stream.withWatermark(at, retention).dropDuplicatesWithinWatermark(keys)
+
+
+def ordered_apply(stream: DataFrame, by: str, seq: str, fingerprint: str) -> DataFrame:
+    """(by, seq, verdict) for each entry of a stream in sequence: applied, duplicate (same fingerprint), conflict or gap. The state of a stream is its last sequence number and that entry's fingerprint."""
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        last, mark = state.get if state.exists else (0, "")
+        out = []
+        for batch in batches:
+            for row in batch.sort_values(seq).itertuples(index=False):
+                number, own = getattr(row, seq), getattr(row, fingerprint)
+                if number == last + 1:
+                    last, mark, verdict = number, own, "applied"
+                elif number <= last:
+                    verdict = "conflict" if number == last and own != mark else "duplicate"
+                else:
+                    verdict = "gap"
+                out.append((key[0], number, verdict))
+        state.update((last, mark))
+        yield pd.DataFrame(out, columns=[by, seq, "verdict"])
+
+    kind = stream.schema[by].dataType.simpleString()
+    return stream.select(by, seq, fingerprint).groupBy(by).applyInPandasWithState(run, f"{by} {kind}, {seq} long, verdict string", "last long, mark string", "append", GroupStateTimeout.NoTimeout)
+
+
+def expiring(stream: DataFrame, by: str, deadline_ms: str) -> DataFrame:
+    """(by, verdict): keys as they are written, and once more when the deadline of the last write has passed in processing time. The state of a key is its deadline; it goes when the key expires."""
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], "expired")], columns=[by, "verdict"])
+            return
+        last = max(int(b[deadline_ms].max()) for b in batches)
+        last = max(last, state.get[0]) if state.exists else last
+        state.update((last,))
+        state.setTimeoutDuration(max(1, last - state.getCurrentProcessingTimeMs()))
+        yield pd.DataFrame([(key[0], "written")], columns=[by, "verdict"])
+
+    kind = stream.schema[by].dataType.simpleString()
+    return stream.select(by, deadline_ms).groupBy(by).applyInPandasWithState(run, f"{by} {kind}, verdict string", "deadline long", "append", GroupStateTimeout.ProcessingTimeTimeout)
