@@ -6,7 +6,9 @@ import base64
 import sys
 
 import duckdb
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -14,25 +16,26 @@ from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Bytes of text whose tokens are handled at once, and words whose ids are kept between batches; a longer text is a batch of its own, in pieces of whole words.
-TEXT_AT_ONCE, WORDS_KEPT = 1 << 20, 1 << 18
+#: Characters of text (or tokens) that are handled at once, and words whose ids are kept between batches; a longer text is a batch of its own, in pieces of whole words.
+TEXT_AT_ONCE, WORDS_KEPT = 1 << 20, 1 << 19
 DUCKDB_MEMORY = "300MB"
 
 #: Words above so many bytes are contracted by ENCODE_LONG.
 LONG = 160
 
-#: A row for each token of each word, with its place, joins the merge table. A step finds each word's best pair, the leftmost of least rank, and contracts it. Words without a pair in the merge table are done.
+#: A row for each pair of neighbouring tokens of each word, with its place, joins the merge table. A step finds each word's best pair, the leftmost of least rank, and contracts it. Words without a pair in the merge table are done.
 ENCODE = """
 WITH RECURSIVE step(word, done, toks) AS (
   SELECT word, false, toks FROM fresh
   UNION ALL
-  SELECT word, best IS NULL,
-         CASE WHEN best IS NULL THEN toks ELSE toks[:best.at - 1] || [best.rank] || toks[best.at + 2:] END
-  FROM (
-    SELECT s.word, any_value(s.toks) AS toks, min(CASE WHEN m.rank IS NOT NULL THEN {'rank': m.rank, 'at': s.at} END) AS best
-    FROM (SELECT word, toks, unnest(range(1, greatest(len(toks), 2))) AS at FROM step WHERE NOT done) s
-    LEFT JOIN merges m ON m.left_id = s.toks[s.at] AND m.right_id = s.toks[s.at + 1]
-    GROUP BY s.word))
+  SELECT s.word, best IS NULL,
+         CASE WHEN best IS NULL THEN toks ELSE toks[:(best & 255) - 1] || [(best >> 8)::INT] || toks[(best & 255) + 2:] END
+  FROM step s LEFT JOIN (
+    SELECT p.word, min((m.rank::BIGINT << 8) | p.place) AS best
+    FROM (SELECT word, unnest(toks[:-2]) AS a, unnest(toks[2:]) AS b, unnest(range(1, len(toks))) AS place FROM step WHERE NOT done) p
+    JOIN merges m ON m.left_id = p.a AND m.right_id = p.b
+    GROUP BY p.word) x USING (word)
+  WHERE NOT s.done)
 SELECT word, toks FROM step WHERE done
 """
 
@@ -66,89 +69,116 @@ SELECT word, list(tok ORDER BY place) AS toks FROM step WHERE NOT more GROUP BY
 """
 
 DECODE = """
-SELECT doc, string_agg(v.chars, '' ORDER BY t.at) AS chars
-FROM (SELECT doc, unnest(ids) AS id, generate_subscripts(ids, 1) AS at FROM streams) t JOIN vocabulary v USING (id)
-GROUP BY doc
+SELECT text, string_agg(v.chars, '' ORDER BY t.place) AS chars
+FROM tokens t JOIN vocabulary v USING (id) GROUP BY text
 """
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, pa.int32()))
+
+
 class Coder:
-    """A vocabulary in a DuckDB database of its own: `vocabulary` has each token's bytes as characters U+0000 to U+00FF, `merges` every way in which two tokens make one."""
+    """A vocabulary in a DuckDB database of its own: `vocabulary` has each token's bytes as characters U+0000 to U+00FF, `merges` every way in which two tokens make one. Words once encoded are kept: `known` numbers them, `starts` and `sizes` say where their ids stand in `ids`."""
 
     def __init__(self, lines: list[bytes], pattern: str):
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.pattern, self.single = regex.compile(pattern), [ranks.get(bytes([b])) for b in range(256)]
-        self.ids: dict[str, list[int]] = {}
+        self.pattern, self.single = regex.compile(pattern), np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self._forget()
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
         made = {(a, b): r for a, b, r in merges}
         prone = [min(made.get((r, a), r), made.get((r, r), r)) < r for a, _, r in merges]
         left, right, rank = zip(*merges, strict=True) if merges else ((), (), ())
-        given = pa.table({"left_id": pa.array(left, pa.int32()), "right_id": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32()), "prone": pa.array(prone, pa.bool_())})
-        tokens = pa.table({"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])})
-        for name, rows in (("merges", given), ("vocabulary", tokens)):
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": "", "preserve_insertion_order": False})
+        given = {
+            "merges": pa.table({"left_id": pa.array(left, pa.int32()), "right_id": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32()), "prone": pa.array(prone, pa.bool_())}),
+            "vocabulary": pa.table({"id": pa.array(ranks.values(), pa.int32()), "chars": pa.array([t.decode("latin-1") for t in ranks])}),
+        }
+        for name, rows in given.items():
             self.db.register("given", rows)
             self.db.execute(f"CREATE TABLE {name} AS FROM given")
             self.db.unregister("given")
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words that aren't known yet."""
-        if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-        fresh = [w for w in words if w not in self.ids]
-        if not fresh:
-            return
-        start = [[self.single[b] for b in w.encode("utf-8", "replace")] for w in fresh]
-        short = [i for i, x in enumerate(start) if len(x) <= LONG]
-        long = [(i, at, x) for i, toks in enumerate(start) if len(toks) > LONG for at, x in enumerate(toks)]
-        given = {"fresh": (ENCODE, pa.table({"word": pa.array(short, pa.int32()), "toks": pa.array([start[i] for i in short], pa.list_(pa.int32()))}))}
-        if long:
-            words, places, toks = zip(*long, strict=True)
-            given["fresh_rows"] = (ENCODE_LONG, pa.table({"word": pa.array(words, pa.int32()), "place": pa.array(places, pa.int32()), "tok": pa.array(toks, pa.int32())}))
-        for name, (query, rows) in given.items():
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = self.starts = self.sizes = np.zeros(0, np.int32)
+
+    def _query(self, query: str, **tables: pa.Table) -> pa.Table:
+        for name, rows in tables.items():
             self.db.register(name, rows)
-            found = self.db.sql(query).to_arrow_table()
-            for word, toks in zip(found.column("word").to_pylist(), found.column("toks").to_pylist(), strict=True):
-                self.ids[fresh[word]] = toks
-            self.db.unregister(name)
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of a whole text."""
-        ids: list[int] = []
-        for first, words in self._pieces(text):
-            self.learn(set(words))
-            known = self.ids
-            for w in words:
-                ids += known[w]
-        return ids
-
-    def _pieces(self, text: str):
-        words, size = [], 0
-        for m in self.pattern.finditer(text):
-            words.append(w := m[0])
-            size += len(w)
-            if size >= TEXT_AT_ONCE:
-                yield m.start(), words
-                words, size = [], 0
-        if words:
-            yield len(text), words
-
-    def decode(self, streams: list[list[int]]) -> list[bytes]:
-        """The bytes of each stream of ids."""
-        out, at = [b""] * len(streams), 0
-        while at < len(streams):
-            some, size = [], 0
-            while at + len(some) < len(streams) and (not some or size < TEXT_AT_ONCE):
-                some.append(streams[at + len(some)])
-                size += len(some[-1])
-            parts = [(i, s[k : k + TEXT_AT_ONCE]) for i, s in enumerate(some) for k in range(0, len(s), TEXT_AT_ONCE)]
-            for first in range(0, len(parts), max(1, len(some))):
-                part = parts[first : first + max(1, len(some))]
-                self.db.register("streams", pa.table({"doc": pa.array(range(len(part)), pa.int32()), "ids": pa.array([p for _, p in part], pa.list_(pa.int32()))}))
-                for doc, chars in sorted(self.db.execute(DECODE).fetchall()):
-                    out[at + part[doc][0]] += chars.encode("latin-1")
-                self.db.unregister("streams")
-            at += len(some)
+        try:
+            return self.db.sql(query).to_arrow_table()
+        finally:
+            for name in tables:
+                self.db.unregister(name)
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encodes words that aren't known yet."""
+        plain = [w.encode("utf-8", "replace") for w in fresh]
+        size = np.array([len(b) for b in plain])
+        toks = self.single[np.frombuffer(b"".join(plain), np.uint8)]
+        word = np.repeat(np.arange(len(fresh), dtype=np.int32), size)
+        is_long = size > LONG
+        short = np.flatnonzero(~is_long).astype(np.int32)
+        found = [self._query(ENCODE, fresh=pa.table({"word": pa.array(short), "toks": _lists(toks[~is_long[word]], size[short])}))]
+        if is_long.any():
+            place, of = np.arange(len(word)), is_long[word]
+            found.append(self._query(ENCODE_LONG, fresh_rows=pa.table({"word": word[of], "place": place[of], "tok": toks[of]})))
+        for rows in found:
+            its = rows.column("toks").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int32()))
+            sizes = pa.compute.list_value_length(its).to_numpy(zero_copy_only=False).astype(np.int32)
+            self.known.update(zip((fresh[i] for i in rows.column("word").to_pylist()), range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
+            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.ids = np.concatenate([self.ids, its.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many each has."""
+        if len(self.known) > WORDS_KEPT:
+            self._forget()
+        if fresh := list(set(words) - self.known.keys()):
+            self._learn(fresh)
+        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        sizes = self.sizes[code]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(self.starts[code] - before, sizes) + np.arange(sizes.sum())], sizes
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has. A text is taken in pieces of whole words where it is very long."""
+        ids, counts, words, ends = [], np.zeros(len(texts), np.int64), [], []
+
+        def flush() -> None:
+            got, sizes = self.ids_of(words)
+            ids.append(got)
+            total = np.concatenate([[0], np.cumsum(sizes)])
+            first = 0
+            for i, end in ends:
+                counts[i] += total[end] - total[first]
+                first = end
+            words.clear()
+            ends.clear()
+
+        for i, text in enumerate(texts):
+            if len(text) <= TEXT_AT_ONCE:
+                words += self.pattern.findall(text)
+            else:
+                for m in self.pattern.finditer(text):
+                    words.append(m[0])
+                    if len(words) >= TEXT_AT_ONCE // 4:
+                        ends.append((i, len(words)))
+                        flush()
+            ends.append((i, len(words)))
+        flush()
+        return np.concatenate(ids), counts
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each text's ids."""
+        text, out = np.repeat(np.arange(len(counts)), counts), [b""] * len(counts)
+        for first in range(0, len(ids), TEXT_AT_ONCE):
+            some = slice(first, first + TEXT_AT_ONCE)
+            got = self._query(DECODE, tokens=pa.table({"text": text[some], "place": np.arange(len(ids[some])), "id": ids[some]}))
+            for i, chars in zip(got.column("text").to_pylist(), got.column("chars").to_pylist(), strict=True):
+                out[i] += chars.encode("latin-1")
         return out
 
 
@@ -170,14 +200,11 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             first = 0
             while first < len(texts):
                 last, size = first, 0
-                while last < len(texts) and (last == first or size < TEXT_AT_ONCE):
+                while last < len(texts) and (last == first or size + len(texts[last]) <= TEXT_AT_ONCE):
                     size += len(texts[last])
                     last += 1
-                some = texts[first:last]
-                if size < 2 * TEXT_AT_ONCE:
-                    coder.learn({w for t in some for w in coder.pattern.findall(t)})
-                ids = [coder.encode(t) for t in some]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(ids, pa.list_(pa.int32())), pa.array(coder.decode(ids), pa.binary())], names=["id", "ids", "decoded"])
+                ids, counts = coder.encode(texts[first:last])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _lists(ids, counts), pa.array(coder.decode(ids, counts), pa.binary())], names=["id", "ids", "decoded"])
                 first = last
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
