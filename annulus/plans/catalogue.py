@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from annulus.plans import keyspace, measurement, placement
+from annulus.plans import changes, keyspace, measurement, placement
 
-PARTS = (placement, keyspace, measurement)
+PARTS = (placement, keyspace, measurement, changes)
 
 
 def queries():

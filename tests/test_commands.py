@@ -119,3 +119,14 @@ def test_stop_window(spark):
 def test_natural_order(spark):
     names = spark.createDataFrame([("rate_10",), ("rate_2",), ("base",)], "n string")
     assert [r["n"] for r in names.orderBy(scalars.natural_order(F.col("n"))).collect()] == ["base", "rate_2", "rate_10"]
+
+
+def test_fold_of_commands(spark):
+    from annulus.operators import commands
+
+    steps = [("SET", "5", None), ("INCRBY", None, 3), ("APPEND", "0", None), ("EXPIRE", None, 1500), ("TTL", None, None), ("PERSIST", None, None), ("SETNX", "q", None), ("GETSET", "x", None), ("INCRBY", None, 1), ("STRLEN", None, None), ("GETDEL", None, None), ("GET", None, None), ("SETNX", "q", None), ("EXPIRE", None, 0), ("DEL", None, None), ("SET", "9223372036854775807", 100), ("INCRBY", None, 1)]
+    want = ["OK", "8", "2", "1", "2", "1", "0", "80", "ERR value is not an integer or out of range", "1", "x", None, "1", "1", "0", "OK", "ERR increment or decrement would overflow"]
+    rows = [("k", i, i, *s) for i, s in enumerate(steps)] + [("k", 100, 500, "GET", None, None), ("other", 0, 0, "GET", None, None)]
+    frame = spark.createDataFrame(rows, "key string, seq long, now_ms long, command string, arg string, number long")
+    got = {(r["key"], r["seq"]): r["reply"] for r in commands.fold(frame).collect()}
+    assert [got["k", i] for i in range(len(want))] == want and got["k", 100] is None and got["other", 0] is None
