@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the domain of a virtual node's token.
-VNODE_DOMAIN = b"hashring-rs:vnode:v1\0"
 TOP = 1 << 63
 #: Bits of a portable token.
 PORTABLE_BITS = 60
@@ -39,8 +37,8 @@ def xxh3_token(key: Column, seed: int) -> Column:
     return run(key)
 
 
-def vnode_token(node_id: Column, vnode: Column, seed: int) -> Column:
-    """The token of a member's virtual node."""
+def vnode_token(node_id: Column, vnode: Column, seed: int, domain: bytes) -> Column:
+    """The token of a member's virtual node: XXH3-64 over the ring's domain (a prefix that each kind of ring has of its own, with its closing zero byte), the name's length and bytes, and the number."""
     import xxhash
 
     @F.pandas_udf("long")
@@ -48,7 +46,7 @@ def vnode_token(node_id: Column, vnode: Column, seed: int) -> Column:
         out = []
         for node, v in zip(ids, vnodes, strict=True):
             name = node.encode()
-            out.append(xxhash.xxh3_64_intdigest(VNODE_DOMAIN + len(name).to_bytes(8, "big") + name + int(v).to_bytes(4, "big"), seed=seed) - TOP)
+            out.append(xxhash.xxh3_64_intdigest(domain + len(name).to_bytes(8, "big") + name + int(v).to_bytes(4, "big"), seed=seed) - TOP)
         return pd.Series(out, dtype="int64")
 
     return run(node_id, vnode)
