@@ -4,51 +4,102 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Commands that the fold knows.
-KNOWN = ("GET", "SET", "SETNX", "GETSET", "GETDEL", "APPEND", "STRLEN", "INCRBY", "DEL", "EXPIRE", "PERSIST", "TTL")
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Milliseconds of a unit, and whether the amount is an instant, of each command that sets a deadline.
+EXPIRY = {"EXPIRE": (1000, False), "PEXPIRE": (1, False), "EXPIREAT": (1000, True), "PEXPIREAT": (1, True)}
+NOT_INTEGER, OVERFLOW, NOT_FLOAT, BAD_EXPIRY = "ERR value is not an integer or out of range", "ERR increment or decrement would overflow", "ERR value is not a valid float", "ERR invalid expire time"
 
+State = tuple[str, int | None] | None
 
-def apply(state: tuple[str, int | None] | None, now: int, command: str, arg: str | None, number: int | None) -> tuple[tuple[str, int | None] | None, str | None]:
-    """The state of a key (value and deadline in ms, or None) and the reply after a command at a time."""
+
+def _integer(text: str) -> int | None:
+    digits = text[1:] if text[:1] in ("+", "-") else text
+    return int(text) if digits.isascii() and digits.isdigit() and LEAST <= int(text) <= MOST else None
+
+
+def _float_text(x: float) -> str:
+    """The shortest text that reads back the same, always with a point or an exponent."""
+    mantissa, e, exponent = repr(x).partition("e")
+    return f"{mantissa}e{int(exponent)}" if e else mantissa
+
+
+def _slice(value: bytes, start: int, end: int) -> bytes:
+    first = max(len(value) + start if start < 0 else start, 0)
+    last = min(max(len(value) + end, 0) if end < 0 else end, len(value) - 1)
+    return value[first : last + 1] if first <= last else b""
+
+
+def apply(state: State, now: int, command: str, arg: str | None, number: int | None) -> tuple[State, str | None]:
+    """The state of a key (value and deadline in ms, or None) and the reply after a command at a time.
+
+    arg is a value (for GETRANGE the last place, for INCRBYFLOAT the increment), number an amount: a time to live (SET, GETEX and PSETEX in ms, SETEX in seconds; GETEX without one drops nothing, with 0 it persists), an increment, a place.
+    """
     if state and state[1] is not None and now >= state[1]:
         state = None
-    value = state[0] if state else None
-    if command == "GET":
-        return state, value
-    if command == "SET":
-        return (arg, None if number is None else now + number), "OK"
-    if command == "SETNX":
-        return (state, "0") if state else ((arg, None), "1")
-    if command == "GETSET":
-        return (arg, None), value
-    if command == "GETDEL":
-        return None, value
-    if command == "APPEND":
-        joined = (value or "") + (arg or "")
-        return (joined, state[1] if state else None), str(len(joined.encode()))
-    if command == "STRLEN":
-        return state, str(len((value or "").encode()))
-    if command == "INCRBY":
-        text = (value or "0").strip()
-        digits = text[1:] if text[:1] in "+-" else text
-        if not (digits.isascii() and digits.isdigit()) or not LEAST <= int(text) <= MOST:
-            return state, "ERR value is not an integer or out of range"
-        total = int(text) + number
-        if not LEAST <= total <= MOST:
-            return state, "ERR increment or decrement would overflow"
-        return (str(total), state[1] if state else None), str(total)
-    if command == "DEL":
-        return None, "1" if state else "0"
-    if command == "EXPIRE":
-        if not state:
-            return None, "0"
-        return (None if number <= 0 else (value, now + number)), "1"
-    if command == "PERSIST":
-        had = state is not None and state[1] is not None
-        return ((value, None) if had else state), "1" if had else "0"
-    if command == "TTL":
-        return state, "-2" if not state else "-1" if state[1] is None else str(-(-(state[1] - now) // 1000))
+    value, deadline = state or (None, None)
+    match command:
+        case "GET":
+            return state, value
+        case "SET":
+            return (arg, None if number is None else now + number), "OK"
+        case "SETEX" | "PSETEX":
+            return (state, BAD_EXPIRY) if number <= 0 else ((arg, now + number * (1000 if command == "SETEX" else 1)), "OK")
+        case "SETNX":
+            return (state, "0") if state else ((arg, None), "1")
+        case "GETSET":
+            return (arg, None), value
+        case "GETDEL":
+            return None, value
+        case "GETEX":
+            return (state if number is None or not state else (value, now + number if number else None)), value
+        case "APPEND":
+            joined = (value or "") + (arg or "")
+            return (joined, deadline), str(len(joined.encode()))
+        case "STRLEN":
+            return state, str(len((value or "").encode()))
+        case "GETRANGE":
+            return state, _slice((value or "").encode(), number, int(arg)).decode("utf-8", "replace")
+        case "SETRANGE":
+            own, patch = (value or "").encode(), (arg or "").encode()
+            if patch:
+                own = own.ljust(number, b"\0")
+                own = own[:number] + patch + own[number + len(patch) :]
+                state = (own.decode("utf-8", "replace"), deadline)
+            return state, str(len(own))
+        case "INCRBY" | "DECRBY":
+            current, by = _integer((value or "0").strip()), number if command == "INCRBY" else -number
+            if current is None:
+                return state, NOT_INTEGER
+            if not LEAST <= current + by <= MOST:
+                return state, OVERFLOW
+            return (str(current + by), deadline), str(current + by)
+        case "INCRBYFLOAT":
+            try:
+                total = float(value or "0") + float(arg)
+            except ValueError:
+                return state, NOT_FLOAT
+            if total != total or total in (float("inf"), float("-inf")):
+                return state, NOT_FLOAT
+            return (_float_text(total), deadline), _float_text(total)
+        case "DEL" | "UNLINK":
+            return None, "1" if state else "0"
+        case "EXISTS" | "TOUCH":
+            return state, "1" if state else "0"
+        case "TYPE":
+            return state, "string" if state else "none"
+        case "EXPIRE" | "PEXPIRE" | "EXPIREAT" | "PEXPIREAT":
+            unit, instant = EXPIRY[command]
+            at = number * unit + (0 if instant else now)
+            if not state:
+                return None, "0"
+            if not LEAST <= at <= MOST:
+                return state, BAD_EXPIRY
+            return (None if at <= now else (value, at)), "1"
+        case "PERSIST":
+            return ((value, None) if state else None), "1" if deadline is not None else "0"
+        case "TTL" | "PTTL":
+            left = -2 if not state else -1 if deadline is None else deadline - now
+            return state, str(left if left < 0 or command == "PTTL" else -(-left // 1000))
     return state, "ERR unknown command"
 
 

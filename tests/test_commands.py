@@ -124,9 +124,24 @@ def test_natural_order(spark):
 def test_fold_of_commands(spark):
     from annulus.operators import commands
 
-    steps = [("SET", "5", None), ("INCRBY", None, 3), ("APPEND", "0", None), ("EXPIRE", None, 1500), ("TTL", None, None), ("PERSIST", None, None), ("SETNX", "q", None), ("GETSET", "x", None), ("INCRBY", None, 1), ("STRLEN", None, None), ("GETDEL", None, None), ("GET", None, None), ("SETNX", "q", None), ("EXPIRE", None, 0), ("DEL", None, None), ("SET", "9223372036854775807", 100), ("INCRBY", None, 1)]
+    steps = [("SET", "5", None), ("INCRBY", None, 3), ("APPEND", "0", None), ("PEXPIRE", None, 1500), ("TTL", None, None), ("PERSIST", None, None), ("SETNX", "q", None), ("GETSET", "x", None), ("INCRBY", None, 1), ("STRLEN", None, None), ("GETDEL", None, None), ("GET", None, None), ("SETNX", "q", None), ("EXPIRE", None, 0), ("DEL", None, None), ("SET", "9223372036854775807", 100), ("INCRBY", None, 1)]
     want = ["OK", "8", "2", "1", "2", "1", "0", "80", "ERR value is not an integer or out of range", "1", "x", None, "1", "1", "0", "OK", "ERR increment or decrement would overflow"]
     rows = [("k", i, i, *s) for i, s in enumerate(steps)] + [("k", 100, 500, "GET", None, None), ("other", 0, 0, "GET", None, None)]
     frame = spark.createDataFrame(rows, "key string, seq long, now_ms long, command string, arg string, number long")
     got = {(r["key"], r["seq"]): r["reply"] for r in commands.fold(frame).collect()}
     assert [got["k", i] for i in range(len(want))] == want and got["k", 100] is None and got["other", 0] is None
+
+
+@pytest.mark.parametrize(
+    "state, command, arg, number, after, reply",
+    [
+        (None, "SETEX", "v", 2, ("v", 2010), "OK"), (None, "SETEX", "v", 0, None, "ERR invalid expire time"), (("v", 99), "GETEX", None, 5, ("v", 15), "v"), (("v", 99), "GETEX", None, 0, ("v", None), "v"), (("v", 99), "GETEX", None, None, ("v", 99), "v"),
+        (("Hello", None), "GETRANGE", "-1", -3, ("Hello", None), "llo"), (("ab", None), "SETRANGE", "c", 4, ("ab\0\0c", None), "5"), (("5", None), "DECRBY", None, 7, ("-2", None), "-2"), ((" 7", None), "INCRBY", None, 1, ("8", None), "8"),
+        (None, "INCRBYFLOAT", "3", None, ("3.0", None), "3.0"), (("1e16", None), "INCRBYFLOAT", "0", None, ("1e16", None), "1e16"), (("x", None), "INCRBYFLOAT", "1", None, ("x", None), "ERR value is not a valid float"),
+        (("v", None), "EXPIREAT", None, 0, None, "1"), (("v", None), "EXPIRE", None, 1 << 62, ("v", None), "ERR invalid expire time"), (("v", 1511), "TTL", None, None, ("v", 1511), "2"), (("v", 1511), "PTTL", None, None, ("v", 1511), "1501"), (("v", 10), "EXISTS", None, None, None, "0"), (("v", None), "TYPE", None, None, ("v", None), "string"),
+    ],
+)
+def test_one_command(state, command, arg, number, after, reply):
+    from annulus.operators import commands
+
+    assert commands.apply(state, 10, command, arg, number) == (after, reply)
