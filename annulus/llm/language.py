@@ -75,11 +75,15 @@ class Model:
 
     def scores(self, slots: list[np.ndarray]) -> np.ndarray:
         """Regression values, texts by languages."""
-        sums = np.zeros((len(slots), len(self.langs)))
-        for i, s in enumerate(slots):
-            if len(s):
-                sums[i] = np.ones(len(s), np.float32) @ self.table[s] / np.sqrt(len(s))
-        return sums + self.bias
+        return regress(self.table, self.bias, slots)
+
+
+def regress(table: np.ndarray, bias: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+    sums = np.zeros((len(slots), len(bias)))
+    for i, s in enumerate(slots):
+        if len(s):
+            sums[i] = np.ones(len(s), np.float32) @ table[s] / np.sqrt(len(s))
+    return sums + bias
 
 
 def learn(known: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -114,19 +118,19 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
     Null texts and those without a letter: `und`, score 0; so are all without a model. Texts are scored in batches, by products of their presences with the model's table. Repeated rows and null ids are kept as they are. An empty table gives an empty one. Other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.table, model.bias))
 
     def run(batches):
-        its = shared.value
+        langs_of, table, bias = shared.value or ([], None, None)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             langs, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            which = [i for i, t in enumerate(texts) if its and t and has_letter(t)]
+            which = [i for i, t in enumerate(texts) if langs_of and t and has_letter(t)]
             if which:
-                values = np.exp(SHARPNESS * its.scores([presence(texts[i]) for i in which]))
+                values = np.exp(SHARPNESS * regress(table, bias, [presence(texts[i]) for i in which]))
                 best = values.argmax(axis=1)
                 for i, b in zip(which, best, strict=True):
-                    langs[i] = its.langs[b]
+                    langs[i] = langs_of[b]
                 sure[which] = values.max(axis=1) / values.sum(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(sure)], names=["id", "lang_pred", "score"])
 
