@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Milliseconds of a unit, and whether the amount is an instant, of each command that sets a deadline.
 EXPIRY = {"EXPIRE": (1000, False), "PEXPIRE": (1, False), "EXPIREAT": (1000, True), "PEXPIREAT": (1, True)}
