@@ -6,7 +6,6 @@ import hashlib
 import re
 import sys
 import unicodedata
-from itertools import takewhile
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -36,7 +35,9 @@ PATTERNS = {
 #: Titles that announce a person's name, by gender.
 TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor Don Signor господин κύριος", "f": "Mrs Ms Miss Madam Lady Frau Fräulein Madame Mme Mademoiselle Mlle Señora Señorita Doña Signora госпожа κυρία"}
 GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts.split()}
-PERSON = re.compile(r"(?<!\w)(?i:(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r"))\.?[\x20\xa0]((?:[^\W\d_][\w'’-]*)(?:[\x20\xa0](?:[^\W\d_][\w'’-]*)){0,2})")
+TITLE = re.compile(r"(?<!\w)(?i:(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r"))\.?(?=[\x20\xa0][^\W\d_])")
+#: A word after a title, and how many of them at most are its names.
+NAME, NAMES = re.compile(r"[\x20\xa0]([^\W\d_][\w'’-]*)"), 3
 
 #: Syllables that names are made of, and endings of given names by gender, for each script.
 SYLLABLES = {"LATIN": "ba be bo da de do fa fe ga go ha ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se ta te ti to va ve vi", "CYRILLIC": "ба бе бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се та те ти то ва ве ви", "GREEK": "βα βε βο δα δε δο γα γο κα κε κο λα λε λι λο μα με μι μο να νε νο πα πε ρα ρε ρι ρο σα σε τα τε τι το"}
@@ -159,13 +160,16 @@ def script(name: str) -> str:
     return found if found in SYLLABLES else "LATIN"
 
 
-def name_parts(gender: str, names: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, class, normal form) of each name after a title: the last is a family name, those before are given names of the title's gender."""
-    parts = list(takewhile(lambda m: m[0][0].isupper() and m[0].lower() not in GENDER, re.finditer(r"[^\x20\xa0]+", names)))
+def name_parts(gender: str, text: str, at: int) -> list[tuple[int, int, str, str]]:
+    """(start, end, class, normal form) of each name after a title that ends at a place: capitalised words up to the next title. The last is a family name, those before are given names of the title's gender."""
+    parts = []
+    while len(parts) < NAMES and (m := NAME.match(text, at)) and m[1][0].isupper() and m[1].lower() not in GENDER:
+        parts.append(m)
+        at = m.end()
     out = []
     for i, m in enumerate(parts):
         role = "family:" if i == len(parts) - 1 else f"given:{gender}"
-        out.append((*m.span(), f"{role}:{script(m[0])}", m[0].lower()))
+        out.append((*m.span(1), f"{role}:{script(m[1])}", m[1].lower()))
     return out
 
 
@@ -190,10 +194,10 @@ def find(text: str) -> list[tuple[int, int, str, object]]:
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         if "@" in text if kind == "email" else digit:
             found += [(m.start(), rank, m.end(), kind, m) for m in pattern.finditer(text)]
-    for m in PERSON.finditer(text):
+    for m in TITLE.finditer(text):
         if m[1][0].isupper() or ord(m[1][0]) > 127:
-            for a, b, its, normal in name_parts(GENDER[m[1].lower()], m[2]):
-                found.append((m.start(2) + a, len(PATTERNS), m.start(2) + b, "person", (its, normal)))
+            for a, b, its, normal in name_parts(GENDER.get(m[1].lower(), ""), text, m.end()):
+                found.append((a, len(PATTERNS), b, "person", (its, normal)))
     found.sort(key=lambda x: (x[0], x[1], -x[2]))
     out, end = [], 0
     for start, _, stop, kind, match in found:

@@ -374,6 +374,16 @@ def test_pii(spark, odd, monkeypatch):
     assert pii.replace(documents(spark, [])).count() == 0
 
 
+def test_pii_finds_the_person_after_the_next_title():
+    names = lambda t: [t[a:b] for a, b, kind, _ in pii.find(t) if kind == "person"]
+    for text in ("Mr Smith and Mrs Jones", "Mr. Smith met Mrs. Jones today", "Mr Smith Mrs Jones", "Mr Mrs Smith or Jones and Ms Jones"):
+        assert names(text) == ["Smith", "Jones"]
+    assert names("Frau Weber und Herr Schmidt") == ["Weber", "Schmidt"]
+    assert names("Mr Don Johnson") == ["Johnson"] and names("Mr Mary Ladyman") == ["Mary", "Ladyman"]
+    assert names("sir Mr Smith") == ["Smith"] and names("Sır Smith") == ["Smith"]
+    assert names("Mr John Smith came") == ["John", "Smith"] and names("mr smith") == names("Mr") == []
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 257])
 def test_displaced_is_a_permutation(size):
     out = [pii.displaced(i, size, b"k", "t") for i in range(size)]
