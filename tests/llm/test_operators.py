@@ -384,6 +384,18 @@ def test_pii_finds_the_person_after_the_next_title():
     assert names("Mr John Smith came") == ["John", "Smith"] and names("mr smith") == names("Mr") == []
 
 
+def test_pii_finds_addresses_after_marks():
+    found = lambda t: [t[a:b] for a, b, kind, _ in pii.find(t) if kind == "email"]
+    for mark in pii.MARKS:
+        assert found(f"{mark}john@corp.com") == found(f"to {mark * 3}john@corp.com{mark}") == ["john@corp.com"]
+        assert found(f"a1@x.com{mark}john@corp.com") == ["a1@x.com", "john@corp.com"]
+        assert "john" not in pii.rewrite(f"{mark}john@corp.com", pii.KEY, {})[0]
+    assert found("a1@x.com.john.doe@corp.com") == ["a1@x.com", "john.doe@corp.com"] and found("a1@x.com@corp.com") == ["a1@x.com"]
+    assert found("%20john@corp.com") == ["20john@corp.com"] and found("a@b@corp.com @corp.com ._@corp.com x@") == ["b@corp.com"]
+    assert found("-a" * 200_000 + " a-b@corp.com") == ["a-b@corp.com"]
+    assert pii.rewrite("_john@corp.com", pii.KEY, {})[0] == "_" + pii.rewrite("john@corp.com", pii.KEY, {})[0]
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 257])
 def test_displaced_is_a_permutation(size):
     out = [pii.displaced(i, size, b"k", "t") for i in range(size)]
