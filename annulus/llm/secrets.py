@@ -53,12 +53,18 @@ def weak_parts(text: str) -> list[tuple[int, int, int]]:
 
 
 def near(starts: list[int], spans: list[tuple[int, int]], span: tuple[int, int], reach: int) -> bool:
-    """Whether one of spans, sorted by start, overlaps span widened by reach on either side. Spans of one list don't overlap one another much, so only the neighbours of the place count."""
+    """Whether one of spans, sorted by start, overlaps span widened by reach on either side. Their ends must not fall (see `reaching`), so that only the neighbours of the place count."""
     low, high = span[0] - reach, span[1] + reach
     i = bisect_left(starts, low)
     return (i < len(starts) and starts[i] <= high) or (i > 0 and spans[i - 1][1] >= low)
 
 
+def reaching(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """spans by start, with the farthest end up to each: of spans that nest, a short inner one doesn't hide a long outer one."""
+    most = 0
+    return [(a, most := max(most, b)) for a, b in sorted(spans)]
+
+
 def scan(text: str, reach: int) -> list[tuple[int, int, int]]:
     """All spans of a text: the base ones, and weak parts with a complementary part within reach in their scope, which ends at a blank line."""
     base = base_spans(text)
@@ -68,9 +74,7 @@ def scan(text: str, reach: int) -> list[tuple[int, int, int]]:
         # A scope gets a coordinate range of its own, farther than any reach from the next, so that one join does for all scopes.
         shift = lambda at: at + bisect_left(breaks, at) * (2 * reach + 1)
         taken = sorted((a, b) for _, a, b in base)
-        ends, most = [], 0
-        for _, b in taken:
-            ends.append(most := max(most, b))
+        ends = [b for _, b in reaching(taken)]
         free = lambda a, b: not ((i := bisect_left(taken, (b, -1))) and ends[i - 1] > a)
         weak = sorted({x for x in weak if free(x[1], x[2])}, key=lambda x: (x[1], -x[2], x[0]))
         kept, end = [], -1
@@ -84,8 +88,7 @@ def scan(text: str, reach: int) -> list[tuple[int, int, int]]:
         for k, a, b in [*base, *kept]:
             s = shift(a)
             by_role[role[k]].append((s, s + b - a))
-        for spans in by_role.values():
-            spans.sort()
+        by_role = {k: reaching(v) for k, v in by_role.items()}
         starts = {k: [a for a, _ in v] for k, v in by_role.items()}
         close = lambda k, span: near(starts[k], by_role[k], span, reach)
         for k, a, b in kept:

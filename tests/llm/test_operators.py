@@ -57,6 +57,19 @@ def test_near_is_an_interval_join():
         assert secrets.near([s[0] for s in spans], spans, at, 20) == want
 
 
+def test_nested_spans_link():
+    text = "token=" + "0123456789abcdef" * 2 + "." + "x" * 300 + " user=bob1"
+    kinds = lambda t: [secrets.KINDS[k] for k, *_ in secrets.scan(t, 200)]
+    assert kinds(text) == ["assign", "hex", "identifier"] and kinds(text.replace("user=bob1", "host=db.example")) == ["assign", "hex", "endpoint"]
+    assert kinds(text.replace(" user", " " * 300 + "user")) == ["assign", "hex"]
+    pick = random.Random(2)
+    for _ in range(300):
+        spans = [(a, a + pick.choice((3, 9, 90))) for a in (pick.randrange(400) for _ in range(8))]
+        at = (a := pick.randrange(400), a + 5)
+        ends = secrets.reaching(spans)
+        assert secrets.near([s[0] for s in ends], ends, at, 20) == any(s[0] <= at[1] + 20 and s[1] >= at[0] - 20 for s in spans)
+
+
 def water(sizes, weights, epochs=3):
     """Targets by rounds of clamping."""
     clamped = {}
