@@ -40,11 +40,12 @@ LOCAL = MARKS + string.ascii_letters + string.digits
 RUN, BEFORE_NEXT = re.compile(r"@[A-Za-z0-9._%+-]*+@"), re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+?[A-Za-z]{2,}+(?=[._%+-])")
 
 #: Titles that announce a person's name, by gender.
-TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor Don Signor господин κύριος", "f": "Mrs Ms Miss Madam Lady Frau Fräulein Madame Mme Mademoiselle Mlle Señora Señorita Doña Signora госпожа κυρία"}
+TITLES = {"m": "Mr Mister Sir Herr Monsieur Señor Don Signor господин κύριος", "f": "Mrs Ms Miss Madam Lady Frau Fräulein Madame Mme Mademoiselle Mlle Señora Señorita Doña Signora госпожа κυρία", "": "Dr Prof Professor Doctor"}
 GENDER = {t.lower(): g for g, ts in TITLES.items() for t in ts.split()}
 TITLE = re.compile(r"(?<!\w)(?i:(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r"))\.?(?=[\x20\xa0][^\W\d_])")
-#: A word after a title, and how many of them at most are its names.
-NAME, NAMES = re.compile(r"[\x20\xa0]([^\W\d_][\w'’-]*)"), 3
+#: A word after a title, without a possessive ending, and how many of them at most are its names.
+WORD = r"[^\W\d_](?:[\w'’-]*?(?=['’]s(?![\w'’-]))|[\w'’-]*)"
+NAME, NAMES, MENTION = re.compile(rf"[\x20\xa0]({WORD})"), 3, re.compile(rf"(?<!\w){WORD}")
 
 #: Syllables that names are made of, and endings of given names by gender, for each script.
 SYLLABLES = {"LATIN": "ba be bo da de do fa fe ga go ha ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se ta te ti to va ve vi", "CYRILLIC": "ба бе бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се та те ти то ва ве ви", "GREEK": "βα βε βο δα δε δο γα γο κα κε κο λα λε λι λο μα με μι μο να νε νο πα πε ρα ρε ρι ρο σα σε τα τε τι το"}
@@ -210,7 +211,7 @@ def emails(text: str):
 
 def find(text: str) -> list[tuple[int, int, str, object]]:
     """(start, end, kind, match) of a whole text's entities, in order, without overlaps."""
-    found = []
+    found, names = [], {}
     digit = re.search("[0-9]", text, re.ASCII)
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         if "@" in text if kind == "email" else digit:
@@ -219,6 +220,13 @@ def find(text: str) -> list[tuple[int, int, str, object]]:
         if m[1][0].isupper() or ord(m[1][0]) > 127:
             for a, b, its, normal in name_parts(GENDER.get(m[1].lower(), ""), text, m.end()):
                 found.append((a, len(PATTERNS), b, "person", (its, normal)))
+                # A name that stands in two classes is that of a family elsewhere.
+                if normal not in names or its.startswith("family"):
+                    names[normal] = its
+    if names:
+        for m in MENTION.finditer(text):
+            if m[0][0].isupper() and (its := names.get(m[0].lower())):
+                found.append((m.start(), len(PATTERNS) + 1, m.end(), "person", (its, m[0].lower())))
     found.sort(key=lambda x: (x[0], x[1], -x[2]))
     out, end = [], 0
     for start, _, stop, kind, match in found:
@@ -274,7 +282,7 @@ def settled_names(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
 def replace(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """All rows and columns of docs as a struct `row` in which the text has surrogates, with `spans`: structs (kind, start, end) of the entities in the text as it was (code points, end exclusive).
 
-    Emails, IBANs, IPv4 addresses, card, social-security and phone numbers go through a keyed permutation of all values of their shape, without fixed points: equal entities get equal surrogates everywhere, distinct ones distinct ones, checksums stay valid or invalid, separators, case and lengths stay. Names after a title get made-up ones of their script and gender; those of all documents are checked for collisions, with each other and with names that occur, and tried again.
+    Emails, IBANs, IPv4 addresses, card, social-security and phone numbers go through a keyed permutation of all values of their shape, without fixed points: equal entities get equal surrogates everywhere, distinct ones distinct ones, checksums stay valid or invalid, separators, case and lengths stay. Names after a title get made-up ones of their script and gender, and so do their other mentions in the same text if they are capitalised; those of all documents are checked for collisions, with each other and with names that occur, and tried again.
     Null texts stay null and have no spans; empty ones stay empty. Repeated rows and null ids are handled like any other. An empty table gives an empty one. Other columns are carried in `row`, whatever their names.
     """
     spark = docs.sparkSession
