@@ -15,7 +15,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Lengths of the character n-grams, and the number of slots that they are hashed to.
 SPECTRUM, SLOTS = (1, 2, 3), 1 << 16
-#: For each language: most documents to learn from, and landmarks among them. Those of the smallest hash are taken.
+#: For each language: most distinct texts to learn from, and landmarks among them. Those of the smallest hash are taken.
 MOST_LEARNT, LANDMARKS = 150, 24
 #: Most languages; beyond, the ones with the fewest documents aren't learnt.
 MOST_LANGUAGES = 200
@@ -87,14 +87,14 @@ def regress(table: np.ndarray, bias: np.ndarray, slots: list[np.ndarray]) -> np.
 
 
 def learn(known: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from at most MOST_LEARNT documents of each language, of which only the presences come to the driver; None without any."""
+    """A model from at most MOST_LEARNT distinct texts of each language, of which only the presences come to the driver; None without any."""
     spark = known.sparkSession
     some = known.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("place"))
     langs = [r["lang"] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
     if not langs:
         return None
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place"))
-    chosen = [(r["lang"], r["place"]) for r in some.filter(F.col("lang").isin(langs)).withColumn("rank", rank).filter(F.col("rank") <= MOST_LEARNT).select("lang", "place").distinct().collect()]
+    chosen = [(r["lang"], r["place"]) for r in some.filter(F.col("lang").isin(langs)).distinct().withColumn("rank", rank).filter(F.col("rank") <= MOST_LEARNT).select("lang", "place").collect()]
     ids = spark.createDataFrame(chosen, "its string, at long")
 
     def run(batches):

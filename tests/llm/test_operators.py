@@ -237,6 +237,12 @@ def test_language(spark):
     assert len(language.presence("")) == 0
 
 
+def test_language_learns_distinct_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "Model", lambda langs, texts, marks: Counter(langs))
+    copies = spark.createDataFrame([(f"text {i}", lang) for i in range(30) for lang in ("xx", "yy")], "text string, lang string").crossJoin(spark.range(language.MOST_LEARNT + 1))
+    assert language.learn(copies) == {"xx": 30, "yy": 30}
+
+
 def test_language_table_is_the_kernel():
     texts = [language.presence(t) for t in ("abab", "abba", "xyxy", "yxyz")]
     model = language.Model(["a", "a", "x", "x"], texts, [0, 2])
