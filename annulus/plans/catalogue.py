@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from annulus.plans import changes, keyspace, measurement, placement
+from annulus.plans import changes, cluster, keyspace, measurement, placement
 
-PARTS = (placement, keyspace, measurement, changes)
+PARTS = (placement, keyspace, measurement, changes, cluster)
 
 
 def queries():

@@ -46,32 +46,6 @@ def digest_equality(spark, sf_dir):
     return both.select("range", "records", "copied", (F.col("digest").eqNullSafe(F.col("other"))).alias("equal"))
 
 
-def topology_validation(spark, sf_dir):
-    """Rows by which a recorded ring (here with one token moved) differs from the one computed anew."""
-    own = data.ring_of(spark, sf_dir, 5, 8)
-    recorded = own.withColumn("token", F.when((F.col("node_id") == "NATION_3") & (F.col("vnode") == 3), F.col("token") + 1).otherwise(F.col("token")))
-    diff = lambda a, b, name: a.exceptAll(b).withColumn("side", F.lit(name))
-    return diff(own, recorded, "computed").unionByName(diff(recorded, own, "recorded"))
-
-
-def policy_readiness(spark, sf_dir):
-    """Whether all ranges of a status are there, caught up and guarded, for each region."""
-    s, n = data.read(spark, sf_dir, "supplier"), data.read(spark, sf_dir, "nation")
-    per = n.join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_regionkey", "n_nationkey").agg(F.count("s_suppkey").alias("streams"), F.coalesce(F.bool_and(F.col("s_acctbal") > -900), F.lit(False)).alias("caught_up"))
-    return per.groupBy("n_regionkey").agg(F.bool_and(F.col("caught_up") & (F.col("streams") >= 2)).alias("ready"), F.count_if(~F.col("caught_up")).alias("behind"))
-
-
-def consistency_rules(spark, sf_dir):
-    """Violations of each rule of a state, by rule."""
-    o, c = data.read(spark, sf_dir, "orders"), data.read(spark, sf_dir, "customer")
-    rules = {"unknown_customer": o.join(c, o["o_custkey"] == c["c_custkey"], "left_anti"), "no_price": o.filter("o_totalprice <= 0"), "low_balance": c.filter("c_acctbal < -900"), "idle_customer": c.join(o, o["o_custkey"] == c["c_custkey"], "left_anti")}
-    out = None
-    for name, rows in rules.items():
-        one = rows.agg(F.count("*").alias("violations")).withColumn("rule", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def error_taxonomy(spark, sf_dir):
     """Outcomes by reason, and whether a write may have been applied."""
     m = data.mutations(spark, sf_dir)
@@ -154,7 +128,6 @@ def oracle_sql():
     rec, sql = keyspace._BASE, keyspace._sql
     t, b, keys = placement._ring_sql("t", 10, 32), placement._ring_sql("b", 9, 32), placement._keys_sql()
     both = placement._with(t, b, keys, placement._place_sql("b"), placement._place_sql("t"), select="SELECT key, token, x.owner AS ob, x.reps AS rb, y.owner AS oa, y.reps AS ra FROM b_placed x JOIN t_placed y USING (key, token)")
-    small = placement._ring_sql("r", 5, 8)
     log_ = f"WITH {rec.split('w AS (')[0].rstrip().rstrip(',')}"
     tok = "('0x' || substr(md5({} || r), 1, 15))::BIGINT"
     digest = f"bit_xor({tok.format(chr(39) + 'a' + chr(39))}) || ':' || bit_xor({tok.format(chr(39) + 'b' + chr(39))})"
@@ -163,9 +136,6 @@ def oracle_sql():
         "source_cleanup": f"SELECT key FROM ({both}) WHERE list_contains(rb, 'NATION_1') AND NOT list_contains(ra, 'NATION_1')",
         "receipt_purge": sql(f"SELECT op, count(*) AS receipts, sum(strlen(key) + 96)::BIGINT AS bytes, greatest(1, min(at_ms + 518400000) - {keyspace.NOW}) AS retry_ms FROM w WHERE at_ms + 518400000 > {keyspace.NOW} GROUP BY 1"),
         "digest_equality": sql(f"SELECT range, a.records, b.records AS copied, a.d IS NOT DISTINCT FROM b.d AS equal FROM (SELECT range, count(*) AS records, {digest} AS d FROM x GROUP BY 1) a FULL JOIN (SELECT range, count(*) AS records, {digest} AS d FROM x WHERE seq % 13 <> 0 GROUP BY 1) b USING (range)", "x AS (SELECT (token >> 56)::INT AS range, key || '|' || seq AS r, seq FROM s)"),
-        "topology_validation": f"WITH {small} SELECT token, node_id, vnode, 'computed' AS side FROM r_ring WHERE node_id = 'NATION_3' AND vnode = 3 UNION ALL SELECT token + 1, node_id, vnode, 'recorded' FROM r_ring WHERE node_id = 'NATION_3' AND vnode = 3",
-        "policy_readiness": "WITH p AS (SELECT n_regionkey, n_nationkey, count(s_suppkey) AS k, coalesce(bool_and(s_acctbal > -900), false) AS c FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_regionkey, bool_and(c AND k >= 2) AS ready, count(*) FILTER (NOT c) AS behind FROM p GROUP BY 1",
-        "consistency_rules": "SELECT 'unknown_customer' AS rule, count(*) AS violations FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'no_price', count(*) FROM orders WHERE o_totalprice <= 0 UNION ALL SELECT 'low_balance', count(*) FROM customer WHERE c_acctbal < -900 UNION ALL SELECT 'idle_customer', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
         "error_taxonomy": log_ + ", r AS (SELECT *, CASE WHEN seq % 11 = 0 THEN 'timeout' WHEN seq % 7 = 0 THEN 'range_busy' WHEN seq % 5 = 0 THEN 'stale_epoch' ELSE 'ok' END AS reason FROM m) SELECT reason, CASE WHEN reason = 'ok' THEN 'applied' WHEN reason = 'timeout' AND op <> 'get' THEN 'may_have_been_applied' ELSE 'not_applied' END AS outcome, count(*) AS n FROM r GROUP BY 1, 2",
         "zipf_pick": "WITH w AS (SELECT k AS rank, sum(pow(k + 1.0::DOUBLE, -0.99)) OVER (ORDER BY k) / sum(pow(k + 1.0::DOUBLE, -0.99)) OVER () AS upto FROM range(50) t(k)), u AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT % 1000000 / 1000000.0::DOUBLE AS u FROM orders), d AS (SELECT o_orderkey, count(rank) AS c FROM u LEFT JOIN w ON upto <= u GROUP BY 1) SELECT least(49, c)::INT AS rank, count(*) AS n FROM d GROUP BY 1",
         "mix_choice": "SELECT o_custkey % 4 AS worker, CASE WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 60 THEN 'get' WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 85 THEN 'put' ELSE 'delete' END AS op, count(*) AS n FROM orders GROUP BY 1, 2",

@@ -152,12 +152,6 @@ def comparable_runs(spark, sf_dir):
     return pairs.groupBy("field").agg(F.count_distinct("value").alias("values")).withColumn("same", F.col("values") == 1)
 
 
-def failure_quorum(spark, sf_dir):
-    """Users that two or more distinct reporters (hours of the day) saw fail, with the first and last report at least a day apart."""
-    reports = data.mutations(spark, sf_dir).filter("event_type = 'error'").withColumn("reporter", F.floor(F.col("at_ms") / 3_600_000) % 24)
-    return reports.groupBy("user_id").agg(F.count_distinct("reporter").alias("reporters"), (F.max("at_ms") - F.min("at_ms")).alias("lasted")).filter("reporters >= 2 and lasted >= 86400000")
-
-
 def repair_groups(spark, sf_dir):
     """Groups in which every task is complete or due, and some pending, those of the fewest attempts first, then the larger."""
     tasks = data.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "pending").otherwise("waiting").alias("state"), (F.col("o_orderkey") % 7).alias("attempts"))
@@ -166,33 +160,6 @@ def repair_groups(spark, sf_dir):
     return groups.filter("ready and some").select("node", "attempts", "size", scalars.retry_seconds(F.col("attempts")).alias("backoff")).orderBy("attempts", F.desc("size"), "node")
 
 
-def reconcile_repairs(spark, sf_dir):
-    """Wanted (customers of nations below 15) against existing repairs (customers with a positive balance): kept, reset, added or dropped."""
-    c = data.read(spark, sf_dir, "customer")
-    wanted = c.filter("c_nationkey < 15").select("c_custkey", F.lit(True).alias("wanted"), (F.col("c_custkey") % 2 == 0).alias("admitted"))
-    existing = c.filter("c_acctbal > 0").select("c_custkey", F.lit(True).alias("existing"), F.when(F.col("c_custkey") % 3 == 0, "complete").otherwise("pending").alias("state"))
-    action = F.when(F.col("wanted").isNull(), "drop").when(F.col("existing").isNull(), "add").when((F.col("state") == "complete") & ~F.col("admitted"), "reset").otherwise("keep")
-    return wanted.join(existing, "c_custkey", "full").select("c_custkey", action.alias("action"))
-
-
-def replica_status(spark, sf_dir):
-    """Per range (nation): wanted, admitted and live followers (its suppliers), lag, and the first rule that blocks writes."""
-    s = data.read(spark, sf_dir, "supplier")
-    f = s.select("s_nationkey", (F.col("s_suppkey") % 3 != 0).alias("admitted"), (F.col("s_suppkey") % 5 != 0).alias("leased"), (F.col("s_acctbal") < 5000).alias("caught_up"))
-    per = f.groupBy("s_nationkey").agg(F.count("*").alias("desired"), F.count_if("admitted").alias("current_rf"), F.count_if(F.col("admitted") & F.col("leased")).alias("live_rf"), F.bool_and("caught_up").alias("caught_up"))
-    reason = F.coalesce(F.when(F.col("current_rf") == 0, "no_admitted_follower"), F.when(F.col("live_rf") == 0, "no_live_follower"), F.when(~F.col("caught_up"), "lagging"), F.lit(""))
-    return per.select("s_nationkey", "desired", "current_rf", "live_rf", reason.alias("write_block_reason"), (reason == "").alias("writable"), (F.col("live_rf") < F.col("desired")).alias("under_replicated"))
-
-
-def required_followers(spark, sf_dir):
-    """What an acknowledgement policy asks for, of the followers that are admitted."""
-    s = data.read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", (F.col("s_suppkey") % 3 != 0).alias("admitted")))).alias("f"))
-    names = F.transform(F.filter("f", lambda x: x["admitted"]), lambda x: x["s_suppkey"].cast("string"))
-    policy = F.element_at(F.array(F.lit("owner_only"), F.lit("first_successor"), F.lit("all")), F.col("s_nationkey") % 3 + 1)
-    wanted = F.when(policy == "owner_only", F.array().cast("array<string>")).when(policy == "first_successor", F.slice(names, 1, 1)).otherwise(names)
-    return s.select("s_nationkey", policy.alias("policy"), F.array_join(wanted, ",").alias("required"))
-
-
 def natural_order(spark, sf_dir):
     stages = data.read(spark, sf_dir, "customer").select(F.concat(F.lit("rate_"), F.col("c_custkey").cast("string")).alias("stage"))
     return stages.select("stage", F.row_number().over(W.orderBy(scalars.natural_order(F.col("stage")))).alias("nth")).filter("nth <= 200")
@@ -248,11 +215,7 @@ def oracle_sql():
         "paired_geomean": "WITH o AS (SELECT o_orderpriority AS \"case\", month(o_orderdate) AS rep, o_orderkey % 2 AS s, avg(o_totalprice) AS v FROM orders WHERE o_totalprice > 0 GROUP BY 1, 2, 3) SELECT a.\"case\", count(*) AS pairs, round(exp(avg(ln(b.v / a.v))) - 1, 6) AS geomean_delta, round(median(a.v), 6) AS median_a, round(median(b.v), 6) AS median_b FROM o a JOIN o b ON a.\"case\" = b.\"case\" AND a.rep = b.rep AND a.s = 0 AND b.s = 1 GROUP BY 1",
         "ratio_pivot": "SELECT o_orderpriority, round(median(o_totalprice) FILTER (o_orderstatus = 'F') / median(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS ratio FROM orders GROUP BY 1",
         "comparable_runs": "WITH o AS (SELECT count(*) AS n, max(c_nationkey) - min(c_nationkey) AS spread FROM customer GROUP BY c_mktsegment) SELECT 'n' AS field, count(DISTINCT n) AS \"values\", count(DISTINCT n) = 1 AS same FROM o UNION ALL SELECT 'spread', count(DISTINCT spread), count(DISTINCT spread) = 1 FROM o",
-        "failure_quorum": m + " SELECT user_id, count(DISTINCT at_ms // 3600000 % 24) AS reporters, max(at_ms) - min(at_ms) AS lasted FROM m WHERE op = 'delete' GROUP BY 1 HAVING count(DISTINCT at_ms // 3600000 % 24) >= 2 AND max(at_ms) - min(at_ms) >= 86400000",
         "repair_groups": "SELECT o_custkey AS node, max(o_orderkey % 7) AS attempts, count(*) AS size, least(pow(2, least(max(o_orderkey % 7), 6)), 60)::BIGINT AS backoff FROM orders GROUP BY 1 HAVING bool_and(o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 7 < 6)) AND bool_or(o_orderstatus = 'O')",
-        "reconcile_repairs": "SELECT c_custkey, CASE WHEN NOT c_nationkey < 15 THEN 'drop' WHEN NOT c_acctbal > 0 THEN 'add' WHEN c_custkey % 3 = 0 AND c_custkey % 2 <> 0 THEN 'reset' ELSE 'keep' END AS action FROM customer WHERE c_nationkey < 15 OR c_acctbal > 0",
-        "replica_status": "WITH p AS (SELECT s_nationkey, count(*) AS desired, count(*) FILTER (s_suppkey % 3 <> 0) AS current_rf, count(*) FILTER (s_suppkey % 3 <> 0 AND s_suppkey % 5 <> 0) AS live_rf, bool_and(s_acctbal < 5000) AS c FROM supplier GROUP BY 1), r AS (SELECT *, CASE WHEN current_rf = 0 THEN 'no_admitted_follower' WHEN live_rf = 0 THEN 'no_live_follower' WHEN NOT c THEN 'lagging' ELSE '' END AS write_block_reason FROM p) SELECT s_nationkey, desired, current_rf, live_rf, write_block_reason, write_block_reason = '' AS writable, live_rf < desired AS under_replicated FROM r",
-        "required_followers": "WITH f AS (SELECT s_nationkey, ['owner_only', 'first_successor', 'all'][s_nationkey % 3 + 1] AS policy, coalesce(list(s_suppkey ORDER BY s_suppkey) FILTER (s_suppkey % 3 <> 0), []) AS n FROM supplier GROUP BY 1) SELECT s_nationkey, policy, array_to_string(CASE policy WHEN 'owner_only' THEN [] WHEN 'first_successor' THEN n[:1] ELSE n END, ',') AS required FROM f",
         "natural_order": "SELECT 'rate_' || c_custkey AS stage, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer QUALIFY nth <= 200",
         "load_balance": f"WITH {led} SELECT node, CASE WHEN b = 0 OR a = 0 THEN 'missing' WHEN a < b THEN 'fell' ELSE 'ok' END AS state, CASE WHEN b > 0 AND a > 0 THEN a - b END AS handled FROM (SELECT node, count(*) FILTER (line <= 2) AS b, count(*) FILTER (line <= 4) AS a FROM l GROUP BY 1) WHERE a > 0 OR b > 0",
         "verify_dataset": "SELECT o_orderkey, CASE WHEN o_orderkey % 10 <> 3 THEN o_custkey END AS expected, CASE WHEN o_orderkey % 10 <> 4 THEN o_custkey + (o_orderkey % 100 = 5)::INT END AS observed FROM orders WHERE o_orderkey % 10 IN (3, 4) OR o_orderkey % 100 = 5",
