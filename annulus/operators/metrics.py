@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annulus.shared import checkpointed
+
 #: Bits of a sub-bucket at three significant figures.
 HDR_BITS = 11
 LOG_BUCKETS = 112
@@ -17,6 +19,16 @@ def round_robin(rows: DataFrame, by: str, order: list[str], quota: int) -> DataF
     return ranked.orderBy("turn", by).limit(quota).drop("turn")
 
 
+def numbered(rows: DataFrame, order: str, slices: int = 64) -> DataFrame:
+    """rows with `nth`, their place by a column (from 1; ties in any order). Rows are sorted in slices of the order, split at sampled values, and numbered from the sizes of the slices before: no task sees all rows."""
+    split = rows.repartitionByRange(slices, order).sortWithinPartitions(order).withColumn("_slice", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
+    placed = checkpointed(split)
+    sizes = placed.groupBy("_slice").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    before = sizes.select("_slice", "_first", F.coalesce(F.sum("n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # A row's id counts up from its slice's first: the sort came before.
+    return placed.join(F.broadcast(before), "_slice").withColumn("nth", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_slice", "_id", "_first", "_before")
+
+
 def floor_rank(rows: DataFrame, by: list[str], value: str, percents=(50, 95, 99)) -> DataFrame:
     """Percentiles as the sorted element at (n - 1) * p / 100, rounded down; with count and max.
 

@@ -79,10 +79,11 @@ def stats_merge(spark, sf_dir):
 
 
 def stage_match(spark, sf_dir):
-    """Stages of two runs by their rate; a rate that one lacks keeps its row."""
+    """Stages of two runs (finished orders and others) by their rate; a rate that one lacks keeps its row."""
     o = data.read(spark, sf_dir, "orders")
+    done = F.col("o_orderstatus") == "F"
     run = lambda where, name: o.filter(where).groupBy(F.floor(F.col("o_totalprice") / 20_000).alias("rate")).agg(F.count("*").alias(name))
-    return run("o_orderkey % 50 = 1", "a").join(run("o_orderkey % 70 = 2", "b"), "rate", "full").select("rate", "a", "b")
+    return run(done, "a").join(run(~done, "b"), "rate", "full").select("rate", "a", "b")
 
 
 def flatten_json(spark, sf_dir):
@@ -117,11 +118,71 @@ def moved_cohorts(spark, sf_dir):
     return placed.groupBy((F.col("i") % 3).alias("cohort")).agg(F.count("*").alias("n"), F.min("token").alias("first"))
 
 
-def command_fold(spark, sf_dir):
-    """Replies of a log of counters: put adds, delete deletes, get reads."""
+def _command_log(spark, sf_dir):
+    """Events as commands on their user's key, twenty kinds in turn."""
     m = data.mutations(spark, sf_dir)
-    command = F.when(F.col("op") == "put", "INCRBY").when(F.col("op") == "delete", "DEL").otherwise("GET")
-    return commands.fold(m.select("key", "seq", F.col("at_ms").alias("now_ms"), command.alias("command"), F.lit(None).cast("string").alias("arg"), (F.col("seq") % 9).alias("number")))
+    own, digit = (F.col("seq") % 50).cast("string"), (F.col("seq") % 10).cast("string")
+    kinds = [
+        ("SET", own), ("SET", own, "NX"), ("SET", own, "XX", "GET"), ("SET", own, "EX", "100000"), ("SETNX", own), ("GETSET", own), ("GETDEL",), ("GETEX", "PERSIST"), ("APPEND", digit), ("STRLEN",),
+        ("GETRANGE", "0", "0"), ("INCRBY", digit), ("DECRBY", "3"), ("EXPIRE", "500000", "NX"), ("EXPIRE", "50000", "LT"), ("PERSIST",), ("PTTL",), ("EXISTS",), ("TYPE",), ("DEL",),
+    ]
+    args = F.lit(None).cast("array<string>")
+    for i, (name, *rest) in enumerate(kinds):
+        args = F.when(F.col("seq") % len(kinds) == i, F.array(F.lit(name), F.col("key"), *[F.lit(x) if isinstance(x, str) else x for x in rest])).otherwise(args)
+    return m.select("seq", F.col("at_ms").alias("now_ms"), args.alias("args"))
+
+
+def command_fold(spark, sf_dir):
+    """Replies of a log of commands."""
+    return commands.execute(_command_log(spark, sf_dir)).select("seq", F.get("reply", F.lit(0)).alias("reply"))
+
+
+def multi_key_commands(spark, sf_dir):
+    """Replies of MSET, MGET, DEL and EXISTS on three keys each, of orders of a customer."""
+    o = data.read(spark, sf_dir, "orders")
+    key = lambda i: F.concat(F.lit("c"), ((F.col("o_custkey") + i) % 97).cast("string"))
+    kind = F.col("o_orderkey") % 4
+    value = F.col("o_orderkey").cast("string")
+    args = (
+        F.when(kind == 0, F.array(F.lit("MSET"), key(0), value, key(1), value, key(0), F.concat(value, F.lit("b"))))
+        .when(kind == 1, F.array(F.lit("MGET"), key(0), key(1), key(0)))
+        .when(kind == 2, F.array(F.lit("EXISTS"), key(0), key(0), key(2)))
+        .otherwise(F.array(F.lit("DEL"), key(2), key(3)))
+    )
+    found = commands.execute(o.select(F.col("o_orderkey").alias("seq"), F.lit(0).cast("long").alias("now_ms"), args.alias("args")))
+    return found.select("seq", F.array_join("reply", ",", "nil").alias("reply"))
+
+
+#: The fold of _command_log as a recursive query: a step takes each key's next command.
+COMMANDS_SQL = """, c AS (SELECT key, seq, at_ms AS now, seq % 20 AS k, (seq % 50)::VARCHAR AS s, seq % 10 AS a, row_number() OVER (PARTITION BY key ORDER BY seq) AS i FROM m),
+r AS (
+  SELECT DISTINCT key, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS v, NULL::BIGINT AS d, NULL::VARCHAR AS reply FROM c
+  UNION ALL
+  SELECT key, i, seq,
+    CASE WHEN k IN (0, 3, 5) THEN s WHEN k IN (1, 4) THEN coalesce(v, s) WHEN k = 2 THEN CASE WHEN v IS NOT NULL THEN s END WHEN k IN (6, 19) THEN NULL
+         WHEN k = 8 THEN coalesce(v, '') || a WHEN k = 11 THEN coalesce((n + a)::VARCHAR, v) WHEN k = 12 THEN coalesce((n - 3)::VARCHAR, v) ELSE v END,
+    CASE WHEN k = 3 THEN now + 100000000 WHEN k IN (0, 2, 5, 6, 7, 15, 19) THEN NULL
+         WHEN k = 13 AND v IS NOT NULL AND d IS NULL THEN now + 500000000 WHEN k = 14 AND v IS NOT NULL AND (d IS NULL OR now + 50000000 < d) THEN now + 50000000 ELSE d END,
+    CASE WHEN k IN (0, 3) THEN 'OK' WHEN k = 1 THEN CASE WHEN v IS NULL THEN 'OK' END WHEN k IN (2, 5, 6, 7) THEN v
+         WHEN k = 4 THEN (v IS NULL)::INT::VARCHAR WHEN k = 8 THEN (length(coalesce(v, '')) + 1)::VARCHAR WHEN k = 9 THEN length(coalesce(v, ''))::VARCHAR WHEN k = 10 THEN coalesce(v[1], '')
+         WHEN k = 11 THEN coalesce((n + a)::VARCHAR, 'ERR value is not an integer or out of range') WHEN k = 12 THEN coalesce((n - 3)::VARCHAR, 'ERR value is not an integer or out of range')
+         WHEN k = 13 THEN (v IS NOT NULL AND d IS NULL)::INT::VARCHAR WHEN k = 14 THEN (v IS NOT NULL AND (d IS NULL OR now + 50000000 < d))::INT::VARCHAR
+         WHEN k = 15 THEN (d IS NOT NULL)::INT::VARCHAR WHEN k = 16 THEN CASE WHEN v IS NULL THEN -2 WHEN d IS NULL THEN -1 ELSE d - now END::VARCHAR
+         WHEN k IN (17, 19) THEN (v IS NOT NULL)::INT::VARCHAR WHEN k = 18 THEN CASE WHEN v IS NULL THEN 'none' ELSE 'string' END END
+  FROM (
+    SELECT *, TRY_CAST(coalesce(v, '0') AS BIGINT) AS n FROM (
+      SELECT c.*, CASE WHEN r.d IS NULL OR c.now < r.d THEN r.v END AS v, CASE WHEN c.now < r.d THEN r.d END AS d FROM r JOIN c ON c.key = r.key AND c.i = r.i + 1)))
+SELECT seq, reply FROM r WHERE i > 0"""
+
+#: The state of a key before a command is that of the last MSET or DEL that named it.
+MULTI_SQL = """
+WITH o AS (SELECT o_orderkey AS seq, o_custkey AS c, o_orderkey % 4 AS k FROM orders),
+w AS (SELECT seq, 'c' || c % 97 AS key, seq || 'b' AS v FROM o WHERE k = 0 UNION ALL SELECT seq, 'c' || (c + 1) % 97, seq::VARCHAR FROM o WHERE k = 0
+      UNION ALL SELECT seq, 'c' || (c + x) % 97, NULL FROM o, (VALUES (2), (3)) t(x) WHERE k = 3),
+q AS (SELECT seq, k, x.pos, 'c' || (c + x.off) % 97 AS key FROM o JOIN (VALUES (1, 0, 0), (1, 1, 1), (1, 2, 0), (2, 0, 0), (2, 1, 0), (2, 2, 2), (3, 0, 2), (3, 1, 3)) x(kind, pos, off) ON k = kind),
+s AS (SELECT q.*, w.v FROM q ASOF LEFT JOIN w ON q.key = w.key AND q.seq > w.seq)
+SELECT seq, CASE k WHEN 1 THEN string_agg(coalesce(v, 'nil'), ',' ORDER BY pos) ELSE count(v)::VARCHAR END AS reply FROM s GROUP BY seq, k
+UNION ALL SELECT seq, 'OK' FROM o WHERE k = 0"""
 
 
 def oracle_sql():
@@ -140,12 +201,13 @@ def oracle_sql():
         "zipf_pick": "WITH w AS (SELECT k AS rank, sum(pow(k + 1.0::DOUBLE, -0.99)) OVER (ORDER BY k) / sum(pow(k + 1.0::DOUBLE, -0.99)) OVER () AS upto FROM range(50) t(k)), u AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT % 1000000 / 1000000.0::DOUBLE AS u FROM orders), d AS (SELECT o_orderkey, count(rank) AS c FROM u LEFT JOIN w ON upto <= u GROUP BY 1) SELECT least(49, c)::INT AS rank, count(*) AS n FROM d GROUP BY 1",
         "mix_choice": "SELECT o_custkey % 4 AS worker, CASE WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 60 THEN 'get' WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 85 THEN 'put' ELSE 'delete' END AS op, count(*) AS n FROM orders GROUP BY 1, 2",
         "stats_merge": "SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P')) t(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1",
-        "stage_match": "SELECT rate, a, b FROM (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS a FROM orders WHERE o_orderkey % 50 = 1 GROUP BY 1) FULL JOIN (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS b FROM orders WHERE o_orderkey % 70 = 2 GROUP BY 1) USING (rate)",
+        "stage_match": "SELECT rate, a, b FROM (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS b FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) USING (rate)",
         "flatten_json": "WITH k AS (SELECT props::JSON AS p, unnest(json_keys(props::JSON)) AS path FROM events) SELECT path, count(*) AS n, round(sum(TRY_CAST(p ->> path AS DOUBLE)), 4) AS total FROM k GROUP BY 1",
         "byte_page": sql("SELECT key, token FROM (SELECT *, sum(strlen(key) + strlen(value) + 64) OVER (ORDER BY token, key ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY token, key) AS nth FROM s) WHERE upto <= 2000 OR nth = 1"),
         "replication_lag": sql(f"SELECT user_id % 8 AS stream, CASE WHEN count(*) FILTER (NOT a) = 0 THEN 0 ELSE {keyspace.NOW + 10 * 86_400_000} - min(at_ms) FILTER (NOT a) END AS lag_ms, count(*) FILTER (NOT a) AS waiting FROM (SELECT *, seq <= 9000 + user_id % 8 * 200 AS a FROM w) GROUP BY 1"),
         "moved_cohorts": f"SELECT i % 3 AS cohort, count(*) AS n, min(token) AS first FROM (SELECT token, row_number() OVER (ORDER BY token, key) - 1 AS i FROM ({both}) WHERE ob <> oa) GROUP BY 1",
-        "command_fold": log_ + ", g AS (SELECT *, count(*) FILTER (op = 'delete') OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS life FROM m), v AS (SELECT *, sum(CASE WHEN op = 'put' THEN seq % 9 END) OVER (PARTITION BY key, life ORDER BY seq ROWS UNBOUNDED PRECEDING) AS total, sum(CASE WHEN op = 'put' THEN 1 ELSE 0 END) OVER (PARTITION BY key, life) AS puts FROM g), p AS (SELECT key, life, puts FROM v GROUP BY ALL) SELECT v.key, v.seq, CASE v.op WHEN 'delete' THEN CASE WHEN coalesce(p.puts, 0) > 0 THEN '1' ELSE '0' END ELSE v.total::BIGINT::VARCHAR END AS reply FROM v LEFT JOIN p ON v.op = 'delete' AND p.key = v.key AND p.life = v.life - 1",
+        "command_fold": log_.replace("WITH ", "WITH RECURSIVE ", 1) + COMMANDS_SQL,
+        "multi_key_commands": MULTI_SQL,
     }
 
 

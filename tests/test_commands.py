@@ -121,27 +121,82 @@ def test_natural_order(spark):
     assert [r["n"] for r in names.orderBy(scalars.natural_order(F.col("n"))).collect()] == ["base", "rate_2", "rate_10"]
 
 
+def log_of(spark, lines):
+    """Commands (now_ms, words) in order."""
+    return spark.createDataFrame([(i, now, words.split(" ")) for i, (now, words) in enumerate(lines)], "seq long, now_ms long, args array<string>")
+
+
+def replies(spark, lines, **more):
+    from annulus.operators import commands
+
+    got = {r["seq"]: r["reply"] for r in commands.execute(log_of(spark, lines), **more).collect()}
+    assert sorted(got) == list(range(len(lines)))
+    return [got[i] if len(got[i]) > 1 else got[i][0] for i in range(len(lines))]
+
+
 def test_fold_of_commands(spark):
+    lines = ["SET k 5", "INCRBY k 3", "APPEND k 0", "PEXPIRE k 1500", "TTL k", "PERSIST k", "SETNX k q", "GETSET k x", "INCR k", "STRLEN k", "GETDEL k", "GET k", "SETNX k q", "EXPIRE k 0", "DEL k", "SET k 9223372036854775807 PX 100", "INCRBY k 1", "nonsense k", "GET", "GET k x", "get k"]
+    want = ["OK", "8", "2", "1", "2", "1", "0", "80", "ERR value is not an integer or out of range", "1", "x", None, "1", "1", "0", "OK", "ERR increment or decrement would overflow", "ERR unknown command 'NONSENSE'", "ERR wrong number of arguments for 'get' command", "ERR wrong number of arguments for 'get' command", "9223372036854775807"]
+    assert replies(spark, [*enumerate(lines), (500, "GET k"), (500, "GET other")]) == [*want, None, None]
+
+
+def test_many_keys_and_renames(spark):
+    lines = ["MSET a 1 b 2 a 3", "MGET a b c a", "EXISTS a a c", "DEL a c", "MGET a", "SET x v PX 50", "RENAME x y", "MGET x y", "PTTL y", "RENAMENX b y", "RENAMENX y z", "RENAME y q", "RENAMENX z z", "RENAME z z", "RENAME b z", "GET z", "MSETNX m 1", "MSETNX m 2", "MSETNX m 1 n 2", "MSET a", "UNLINK z m", "RENAME z"]
+    want = ["OK", ["3", "2", None, "3"], "2", "1", None, "OK", "OK", [None, "v"], "47", "0", "1", "ERR no such key", "0", "OK", "OK", "2", "1", "0", "ERR MSETNX with more than one key is not supported: the keys can't be set as one", "ERR wrong number of arguments for 'mset' command", "2", "ERR wrong number of arguments for 'rename' command"]
+    assert replies(spark, list(enumerate(lines))) == want
+
+
+def test_extensions_and_scripts(spark):
     from annulus.operators import commands
 
-    steps = [("SET", "5", None), ("INCRBY", None, 3), ("APPEND", "0", None), ("PEXPIRE", None, 1500), ("TTL", None, None), ("PERSIST", None, None), ("SETNX", "q", None), ("GETSET", "x", None), ("INCRBY", None, 1), ("STRLEN", None, None), ("GETDEL", None, None), ("GET", None, None), ("SETNX", "q", None), ("EXPIRE", None, 0), ("DEL", None, None), ("SET", "9223372036854775807", 100), ("INCRBY", None, 1)]
-    want = ["OK", "8", "2", "1", "2", "1", "0", "80", "ERR value is not an integer or out of range", "1", "x", None, "1", "1", "0", "OK", "ERR increment or decrement would overflow"]
-    rows = [("k", i, i, *s) for i, s in enumerate(steps)] + [("k", 100, 500, "GET", None, None), ("other", 0, 0, "GET", None, None)]
-    frame = spark.createDataFrame(rows, "key string, seq long, now_ms long, command string, arg string, number long")
-    got = {(r["key"], r["seq"]): r["reply"] for r in commands.fold(frame).collect()}
-    assert [got["k", i] for i in range(len(want))] == want and got["k", 100] is None and got["other", 0] is None
+    double = lambda state, now, name, args: ((state[0] * 2, state[1]), state[0] * 2) if state else (None, None)
+
+    def script(store, by):
+        store.call("SET", store.key, "7")
+        store.call("INCRBY", store.key, by)
+        return float(store.call("GET", store.key)) + 0.5
+
+    name = commands.script_hash("set 7, add, answer a half more")
+    more = {"DOUBLE": double, "GET": double, **commands.evalsha({name: script})}
+    lines = ["SET k ab", "DOUBLE k", "GET k", f"EVALSHA k {name} 3", "GET k", f"EVALSHA k {name} x", "GET k", "EVALSHA k 00"]
+    assert replies(spark, [(0, x) for x in lines], extensions=more) == ["OK", "abab", "abab", "10", "10", "ERR value is not an integer or out of range (incrby)", "10", "NOSCRIPT No matching script"]
+    assert [commands.script_reply(x) for x in (None, False, True, 3.0, 3.9, "a", float("inf"))] == [None, None, "1", "3", "3", "a", "ERR not a finite number"]
+    assert commands.Overlay("k", None, 0).pcall("GET", "other").startswith("ERR")
 
 
 @pytest.mark.parametrize(
-    "state, command, arg, number, after, reply",
+    "state, line, after, reply",
     [
-        (None, "SETEX", "v", 2, ("v", 2010), "OK"), (None, "SETEX", "v", 0, None, "ERR invalid expire time"), (("v", 99), "GETEX", None, 5, ("v", 15), "v"), (("v", 99), "GETEX", None, 0, ("v", None), "v"), (("v", 99), "GETEX", None, None, ("v", 99), "v"),
-        (("Hello", None), "GETRANGE", "-1", -3, ("Hello", None), "llo"), (("ab", None), "SETRANGE", "c", 4, ("ab\0\0c", None), "5"), (("5", None), "DECRBY", None, 7, ("-2", None), "-2"), ((" 7", None), "INCRBY", None, 1, ("8", None), "8"),
-        (None, "INCRBYFLOAT", "3", None, ("3.0", None), "3.0"), (("1e16", None), "INCRBYFLOAT", "0", None, ("1e16", None), "1e16"), (("x", None), "INCRBYFLOAT", "1", None, ("x", None), "ERR value is not a valid float"),
-        (("v", None), "EXPIREAT", None, 0, None, "1"), (("v", None), "EXPIRE", None, 1 << 62, ("v", None), "ERR invalid expire time"), (("v", 1511), "TTL", None, None, ("v", 1511), "2"), (("v", 1511), "PTTL", None, None, ("v", 1511), "1501"), (("v", 10), "EXISTS", None, None, None, "0"), (("v", None), "TYPE", None, None, ("v", None), "string"),
+        (None, "SETEX 2 v", ("v", 2010), "OK"), (None, "SETEX 0 v", None, "ERR invalid expire time in 'setex' command"), (("v", 99), "GETEX PX 5", ("v", 15), "v"), (("v", 99), "GETEX PERSIST", ("v", None), "v"), (("v", 99), "GETEX", ("v", 99), "v"), (("v", 99), "GETEX EX 1 PERSIST", ("v", 99), "ERR syntax error"),
+        (("Hello", None), "GETRANGE -3 -1", ("Hello", None), "llo"), (("ab", None), "SETRANGE 4 c", ("ab\0\0c", None), "5"), (("ab", None), "SETRANGE -1 c", ("ab", None), "ERR offset is out of range"), (("5", None), "DECRBY 7", ("-2", None), "-2"), ((" 7", None), "INCRBY 1", ("8", None), "8"),
+        (("-5", None), "DECRBY -9223372036854775808", ("-5", None), "ERR decrement would overflow"), (("1", 50), "DECR", ("0", 50), "0"), (("", None), "INCR", ("", None), "ERR value is not an integer or out of range"), (("0" * 30 + "7", None), "INCR", ("8", None), "8"), (("9" * 5000, None), "INCR", ("9" * 5000, None), "ERR value is not an integer or out of range"),
+        (None, "INCRBYFLOAT 3", ("3.0", None), "3.0"), (("1e16", None), "INCRBYFLOAT 0", ("10000000000000000.0", None), "10000000000000000.0"), (("0", None), "INCRBYFLOAT 1e-7", ("0.0000001", None), "0.0000001"), (("x", None), "INCRBYFLOAT 1", ("x", None), "ERR value is not a valid float"), (("1_0", None), "INCRBYFLOAT 1", ("1_0", None), "ERR value is not a valid float"), (("", None), "INCRBYFLOAT .5", ("0.5", None), "0.5"), (("1e308", None), "INCRBYFLOAT 1e308", ("1e308", None), "ERR increment would produce NaN or Infinity"),
+        (("v", None), "EXPIREAT 0", None, "1"), (("v", None), "EXPIRE 4611686018427387904", ("v", None), "ERR invalid expire time in 'expire' command"), (("v", 99), "PEXPIRE 5 NX", ("v", 99), "0"), (("v", None), "PEXPIRE 5 XX", ("v", None), "0"), (("v", None), "PEXPIRE 5 GT", ("v", None), "0"), (("v", None), "PEXPIRE 5 LT", ("v", 15), "1"), (("v", 12), "PEXPIRE 5 GT", ("v", 15), "1"), (("v", 15), "PEXPIRE 5 LT", ("v", 15), "0"), (("v", 12), "PEXPIRE 5 GT LT", ("v", 12), "ERR syntax error"),
+        (("v", 1511), "TTL", ("v", 1511), "2"), (("v", 1511), "PTTL", ("v", 1511), "1501"), (("v", 10), "EXISTS", None, "0"), (("v", None), "TYPE", ("v", None), "string"),
+        (("v", 99), "SET w", ("w", None), "OK"), (("v", 99), "SET w KEEPTTL", ("w", 99), "OK"), (("v", 99), "SET w NX GET", ("v", 99), "v"), (None, "SET w NX GET", ("w", None), None), (None, "SET w XX", None, None), (None, "SET w NX XX", None, "ERR syntax error"), (None, "SET w EX 1 PX 1", None, "ERR syntax error"), (None, "SET w EX", None, "ERR syntax error"), (None, "SET w PXAT 77 nx", ("w", 77), "OK"), (None, "SET w EXAT 0", None, "ERR invalid expire time in 'set' command"), (None, "SET w bad", None, "ERR syntax error"),
     ],
 )
-def test_one_command(state, command, arg, number, after, reply):
+def test_one_command(state, line, after, reply):
     from annulus.operators import commands
 
-    assert commands.apply(state, 10, command, arg, number) == (after, reply)
+    name, *args = line.split(" ")
+    assert commands.apply(state, 10, name, args) == (after, reply)
+
+
+def test_numbered_is_a_sort(spark):
+    from annulus.operators import metrics
+
+    rows = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("k"), F.lit("x").alias("nth_of"))
+    assert all(r["nth"] == r["k"] + 1 for r in metrics.numbered(rows, "k", 7).collect())
+    assert metrics.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_components_of_ties(spark):
+    from annulus.shared import components
+
+    pairs = [(f"n{i}", f"n{i + 1}") for i in range(30) if i % 11] + [("n3", "n25"), ("z", "a")]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for u, v in pairs:
+            label[u] = label[v] = min(label[u], label[v])
+    assert {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "u string, v string")).collect()} == label
