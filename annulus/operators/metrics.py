@@ -147,5 +147,9 @@ def least_squares(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def paired(rows: DataFrame, case: str, rep: str, system: str, value: str, a: str, b: str) -> DataFrame:
     """(case, pairs, geomean_delta, median_a, median_b): the paired geometric mean of b over a, less 1."""
+    from annulus.operators.stages import medians
+
     one = lambda s, name: rows.filter(F.col(system) == s).select(case, rep, F.col(value).alias(name))
-    return one(a, "a").join(one(b, "b"), [case, rep]).groupBy(case).agg(F.count("*").alias("pairs"), (F.exp(F.avg(F.ln(F.col("b") / F.col("a")))) - 1).alias("geomean_delta"), F.median("a").alias("median_a"), F.median("b").alias("median_b"))
+    both = one(a, "a").join(one(b, "b"), [case, rep])
+    rolled = both.groupBy(case).agg(F.count("*").alias("pairs"), (F.exp(F.avg(F.ln(F.col("b") / F.col("a")))) - 1).alias("geomean_delta"))
+    return rolled.join(medians(both, [case], ["a", "b"]), case).select(case, "pairs", "geomean_delta", F.col("a").alias("median_a"), F.col("b").alias("median_b"))

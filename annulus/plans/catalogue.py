@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from annulus.plans import changes, cluster, keyspace, measurement, placement
+from annulus.plans import changes, cluster, keyspace, measurement, placement, stages
 
-PARTS = (placement, keyspace, measurement, changes, cluster)
+PARTS = (placement, keyspace, measurement, changes, cluster, stages)
 
 
 def queries():

@@ -46,14 +46,6 @@ def digest_equality(spark, sf_dir):
     return both.select("range", "records", "copied", (F.col("digest").eqNullSafe(F.col("other"))).alias("equal"))
 
 
-def error_taxonomy(spark, sf_dir):
-    """Outcomes by reason, and whether a write may have been applied."""
-    m = data.mutations(spark, sf_dir)
-    reason = F.when(F.col("seq") % 11 == 0, "timeout").when(F.col("seq") % 7 == 0, "range_busy").when(F.col("seq") % 5 == 0, "stale_epoch").otherwise("ok")
-    outcome = F.when(reason == "ok", "applied").when((reason == "timeout") & (F.col("op") != "get"), "may_have_been_applied").otherwise("not_applied")
-    return m.groupBy(reason.alias("reason"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
-
-
 def zipf_pick(spark, sf_dir):
     """Keys drawn by a Zipf law (exponent 0.99 over 50 keys) from uniform numbers."""
     ranks = spark.range(50).select(F.col("id").alias("rank"), F.pow(F.col("id") + 1.0, F.lit(-0.99)).alias("w"))
@@ -197,7 +189,6 @@ def oracle_sql():
         "source_cleanup": f"SELECT key FROM ({both}) WHERE list_contains(rb, 'NATION_1') AND NOT list_contains(ra, 'NATION_1')",
         "receipt_purge": sql(f"SELECT op, count(*) AS receipts, sum(strlen(key) + 96)::BIGINT AS bytes, greatest(1, min(at_ms + 518400000) - {keyspace.NOW}) AS retry_ms FROM w WHERE at_ms + 518400000 > {keyspace.NOW} GROUP BY 1"),
         "digest_equality": sql(f"SELECT range, a.records, b.records AS copied, a.d IS NOT DISTINCT FROM b.d AS equal FROM (SELECT range, count(*) AS records, {digest} AS d FROM x GROUP BY 1) a FULL JOIN (SELECT range, count(*) AS records, {digest} AS d FROM x WHERE seq % 13 <> 0 GROUP BY 1) b USING (range)", "x AS (SELECT (token >> 56)::INT AS range, key || '|' || seq AS r, seq FROM s)"),
-        "error_taxonomy": log_ + ", r AS (SELECT *, CASE WHEN seq % 11 = 0 THEN 'timeout' WHEN seq % 7 = 0 THEN 'range_busy' WHEN seq % 5 = 0 THEN 'stale_epoch' ELSE 'ok' END AS reason FROM m) SELECT reason, CASE WHEN reason = 'ok' THEN 'applied' WHEN reason = 'timeout' AND op <> 'get' THEN 'may_have_been_applied' ELSE 'not_applied' END AS outcome, count(*) AS n FROM r GROUP BY 1, 2",
         "zipf_pick": "WITH w AS (SELECT k AS rank, sum(pow(k + 1.0::DOUBLE, -0.99)) OVER (ORDER BY k) / sum(pow(k + 1.0::DOUBLE, -0.99)) OVER () AS upto FROM range(50) t(k)), u AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT % 1000000 / 1000000.0::DOUBLE AS u FROM orders), d AS (SELECT o_orderkey, count(rank) AS c FROM u LEFT JOIN w ON upto <= u GROUP BY 1) SELECT least(49, c)::INT AS rank, count(*) AS n FROM d GROUP BY 1",
         "mix_choice": "SELECT o_custkey % 4 AS worker, CASE WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 60 THEN 'get' WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 85 THEN 'put' ELSE 'delete' END AS op, count(*) AS n FROM orders GROUP BY 1, 2",
         "stats_merge": "SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P')) t(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1",

@@ -99,51 +99,18 @@ def phase_kind_buckets(spark, sf_dir):
     return data.mutations(spark, sf_dir).groupBy(phase.alias("phase"), F.col("op").alias("kind")).agg(F.count("*").alias("n"), F.sum(F.col("seq") % 1000).alias("total"))
 
 
-def rep_medians(spark, sf_dir):
-    orders = data.read(spark, sf_dir, "orders")
-    return orders.groupBy("o_orderpriority", "o_orderstatus").agg(F.round(F.median("o_totalprice"), 6).alias("median"), F.min("o_totalprice").alias("least"), F.max("o_totalprice").alias("most"), F.count_if(F.col("o_totalprice") > 300_000).alias("saturated"))
-
-
 def rtt_fit(spark, sf_dir):
     items = data.read(spark, sf_dir, "lineitem")
     fit = metrics.least_squares(items, ["l_returnflag", "l_linenumber"], "l_quantity", "l_extendedprice")
     return fit.select("l_returnflag", "l_linenumber", "points", *[F.round(c, 4).alias(c) for c in ("slope", "intercept")], F.round("r", 6).alias("r"))
 
 
-def rtt_crossover(spark, sf_dir):
-    """Where the fitted line reaches a ceiling, against the largest x seen."""
-    items = data.read(spark, sf_dir, "lineitem")
-    fit = metrics.least_squares(items, ["l_returnflag"], "l_quantity", "l_extendedprice")
-    ceiling = items.groupBy("l_returnflag").agg(F.median("l_extendedprice").alias("ceiling"), F.max("l_quantity").alias("most"))
-    at = F.when(F.col("slope") > 0, (F.col("ceiling") - F.col("intercept")) / F.col("slope"))
-    return fit.join(ceiling, "l_returnflag").select("l_returnflag", F.round(at, 6).alias("crossover"), F.when(at <= F.col("most"), "reached").otherwise("not reached").alias("verdict"))
-
-
-def wait_share(spark, sf_dir):
-    items = data.read(spark, sf_dir, "lineitem")
-    wait, hold = F.sum(F.col("l_discount") * 100), F.sum(F.col("l_tax") * 100)
-    return items.groupBy("l_linenumber").agg(F.round(F.when(wait + hold > 0, wait / (wait + hold)).otherwise(0.0), 6).alias("share"))
-
-
 def pressure_rollup(spark, sf_dir):
     items = data.ledger(spark, sf_dir)
     each = items.groupBy("stage", "node").agg(F.sum("latency_us").alias("total"), F.max("latency_us").alias("peak"), F.count("*").alias("n"))
     return each.groupBy("stage").agg(F.sum("total").alias("total"), F.max("peak").alias("peak"), F.count("*").alias("nodes"), F.round(F.max("n") / F.avg("n"), 6).alias("max_over_mean"))
 
 
-def paired_geomean(spark, sf_dir):
-    orders = data.read(spark, sf_dir, "orders").filter("o_totalprice > 0")
-    one = orders.groupBy(F.col("o_orderpriority").alias("case"), F.month("o_orderdate").alias("rep"), F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b").alias("system")).agg(F.avg("o_totalprice").alias("v"))
-    found = metrics.paired(one, "case", "rep", "system", "v", "a", "b")
-    return found.select("case", "pairs", *[F.round(c, 6).alias(c) for c in ("geomean_delta", "median_a", "median_b")])
-
-
-def ratio_pivot(spark, sf_dir):
-    orders = data.read(spark, sf_dir, "orders")
-    wide = orders.groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O"]).agg(F.median("o_totalprice"))
-    return wide.select("o_orderpriority", F.round(F.col("F") / F.col("O"), 6).alias("ratio"))
-
-
 def comparable_runs(spark, sf_dir):
     """Keys of the customers' configuration on which the segments differ."""
     c = data.read(spark, sf_dir, "customer")
@@ -208,13 +175,8 @@ def oracle_sql():
         "post_kill_progress": m + " SELECT op, count(*) AS n, count(*) FILTER (seq % 4 = 0) AS failures, min(at_ms) FILTER (seq % 4 = 0) AS first_failure, max(at_ms) FILTER (seq % 4 = 0) AS last_failure, min(at_ms) FILTER (seq % 4 <> 0) AS first_success FROM m WHERE at_ms >= 1705276800000 GROUP BY 1",
         "error_zero_fill": "SELECT reason, count(event_id) AS n FROM (VALUES ('error'), ('timeout'), ('click'), ('busy'), ('unavailable')) t(reason) LEFT JOIN events ON event_type = reason GROUP BY 1",
         "phase_kind_buckets": m + " SELECT CASE WHEN at_ms < 1704844800000 THEN 'pre' WHEN at_ms < 1705708800000 THEN 'copy' ELSE 'post' END AS phase, op AS kind, count(*) AS n, sum(seq % 1000)::BIGINT AS total FROM m GROUP BY 1, 2",
-        "rep_medians": "SELECT o_orderpriority, o_orderstatus, round(median(o_totalprice), 6) AS median, min(o_totalprice) AS least, max(o_totalprice) AS most, count(*) FILTER (o_totalprice > 300000) AS saturated FROM orders GROUP BY 1, 2",
         "rtt_fit": "SELECT l_returnflag, l_linenumber, count(*) AS points, round(coalesce(regr_slope(l_extendedprice, l_quantity), 0), 4) AS slope, round(coalesce(regr_intercept(l_extendedprice, l_quantity), avg(l_extendedprice)), 4) AS intercept, round(coalesce(corr(l_extendedprice, l_quantity), 0), 6) AS r FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2",
-        "rtt_crossover": "SELECT l_returnflag, round(x, 6) AS crossover, CASE WHEN x <= most THEN 'reached' ELSE 'not reached' END AS verdict FROM (SELECT l_returnflag, CASE WHEN regr_slope(l_extendedprice, l_quantity) > 0 THEN (median(l_extendedprice) - regr_intercept(l_extendedprice, l_quantity)) / regr_slope(l_extendedprice, l_quantity) END AS x, max(l_quantity) AS most FROM lineitem GROUP BY 1)",
-        "wait_share": "SELECT l_linenumber, round(sum(l_discount * 100) / (sum(l_discount * 100) + sum(l_tax * 100)), 6) AS share FROM lineitem GROUP BY 1",
         "pressure_rollup": f"WITH {led}, e AS (SELECT stage, node, sum(us) AS total, max(us) AS peak, count(*) AS n FROM l GROUP BY 1, 2) SELECT stage, sum(total)::BIGINT AS total, max(peak) AS peak, count(*) AS nodes, round(max(n) / avg(n), 6) AS max_over_mean FROM e GROUP BY 1",
-        "paired_geomean": "WITH o AS (SELECT o_orderpriority AS \"case\", month(o_orderdate) AS rep, o_orderkey % 2 AS s, avg(o_totalprice) AS v FROM orders WHERE o_totalprice > 0 GROUP BY 1, 2, 3) SELECT a.\"case\", count(*) AS pairs, round(exp(avg(ln(b.v / a.v))) - 1, 6) AS geomean_delta, round(median(a.v), 6) AS median_a, round(median(b.v), 6) AS median_b FROM o a JOIN o b ON a.\"case\" = b.\"case\" AND a.rep = b.rep AND a.s = 0 AND b.s = 1 GROUP BY 1",
-        "ratio_pivot": "SELECT o_orderpriority, round(median(o_totalprice) FILTER (o_orderstatus = 'F') / median(o_totalprice) FILTER (o_orderstatus = 'O'), 6) AS ratio FROM orders GROUP BY 1",
         "comparable_runs": "WITH o AS (SELECT count(*) AS n, max(c_nationkey) - min(c_nationkey) AS spread FROM customer GROUP BY c_mktsegment) SELECT 'n' AS field, count(DISTINCT n) AS \"values\", count(DISTINCT n) = 1 AS same FROM o UNION ALL SELECT 'spread', count(DISTINCT spread), count(DISTINCT spread) = 1 FROM o",
         "repair_groups": "SELECT o_custkey AS node, max(o_orderkey % 7) AS attempts, count(*) AS size, least(pow(2, least(max(o_orderkey % 7), 6)), 60)::BIGINT AS backoff FROM orders GROUP BY 1 HAVING bool_and(o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 7 < 6)) AND bool_or(o_orderstatus = 'O')",
         "natural_order": "SELECT 'rate_' || c_custkey AS stage, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer",
