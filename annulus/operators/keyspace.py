@@ -50,3 +50,32 @@ def within_budget(records: DataFrame, budget: int) -> DataFrame:
 def lookup(records: DataFrame, asked: DataFrame) -> DataFrame:
     """(pos, key, value): values in the order asked, null where there is no live record."""
     return asked.join(records.filter("live").select("key", "value"), "key", "left").select("pos", "key", "value")
+
+
+def stretch_end(ranges: DataFrame, node: str, start: int) -> DataFrame:
+    """(next): where the run of a node's ranges that holds a token ends: the first token after it that another node owns, the token itself if another owns it, null if the run reaches the end of the ring."""
+    ahead = ranges.filter(F.col("end") >= start).select("start", "end", "owner")
+    # Past the last boundary the ring goes on with the owner of the first.
+    rest = ranges.agg(F.max("end").alias("start"), F.min_by("owner", "end").alias("owner")).select("start", F.lit((1 << 63) - 1).alias("end"), "owner")
+    other = ahead.unionByName(rest).filter(F.col("owner") != node)
+    # A wrapping range begins past its end.
+    begins = F.when(F.col("start") > F.col("end"), F.lit(0)).otherwise(F.col("start") + 1)
+    return other.agg(F.min(F.greatest(begins, F.lit(start))).alias("next"))
+
+
+def one_stretch(records: DataFrame, ranges: DataFrame, node: str, start: int, max_keys: int, max_bytes: int) -> DataFrame:
+    """A page of the live keys from a token on that stops at the first range of another node."""
+    end = stretch_end(ranges, node, start).first()["next"]
+    return page(records if end is None else records.filter(F.col("token") < end), start, max_keys, max_bytes)
+
+
+def only_strings(records: DataFrame, kind: str) -> DataFrame:
+    """The TYPE filter: every value is a string, so `string` selects all and any other type none."""
+    return records if kind.lower() == "string" else records.filter(F.lit(False))
+
+
+def byte_page(rows: DataFrame, order: list[str], size: Column, budget: int, most: int = 10_000) -> DataFrame:
+    """The first rows in order whose sizes fit a budget together; the first is always taken. The limit is pushed into the sort, so that a page's rows come to the window only."""
+    first = rows.withColumn("_size", size).orderBy(*order).limit(most)
+    upto = F.sum("_size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return first.withColumn("_upto", upto).withColumn("_nth", F.row_number().over(W.orderBy(*order))).filter((F.col("_upto") <= budget) | (F.col("_nth") == 1)).drop("_size", "_upto", "_nth")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def live(deleted: Column, expires_at: Column, now: Column) -> Column:
     """Neither deleted nor expired; a record is expired at its deadline."""
@@ -51,12 +57,6 @@ def range_digest(records: DataFrame, by: str, record: Column) -> DataFrame:
     return records.groupBy(by).agg(F.count("*").alias("records"), F.concat_ws(":", F.bit_xor(half("a")).cast("string"), F.bit_xor(half("b")).cast("string")).alias("digest"))
 
 
-def ordered_digest(records: DataFrame, by: str, order: list[str], record: Column) -> DataFrame:
-    """(by, records, digest): a digest over a range's records in order. A range's digests come together in one task; range_digest is the one for large ranges."""
-    rows = records.select(by, F.struct(*order, F.sha2(record, 256).alias("d")).alias("r"))
-    return rows.groupBy(by).agg(F.count("*").alias("records"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"]), ""), 256).alias("digest"))
-
-
 def sweep(records: DataFrame, now: int, most: int) -> DataFrame:
     """Due records, the earliest deadlines first, at most so many."""
     return records.filter(F.col("expires_at_ms") <= now).orderBy("expires_at_ms", "key").limit(most)
@@ -65,3 +65,44 @@ def sweep(records: DataFrame, now: int, most: int) -> DataFrame:
 def next_deadline(given: Column, current: Column, is_live: Column) -> Column:
     """A write's deadline: unset keeps that of a live record, 0 clears, else it is set."""
     return F.when(given.isNull(), F.when(is_live, current)).when(given == 0, None).otherwise(given)
+
+
+def conditional(requests: DataFrame) -> DataFrame:
+    """(key, seq, outcome, version): the writes of each key in the order of seq, each under its condition; version is the key's after it.
+
+    requests: key, seq, now_ms, op (put, delete, or expire, which sets the deadline and keeps the value), deadline_ms (null: a put keeps a live one's, an expire clears it; 0 clears), condition (null, absent, version), expected. Conditions look at the live record: an expired or deleted one is absent. A write that fails (condition_failed, or key_missing for an expire) writes nothing. The task holds one key's version and deadline and a batch of rows.
+    """
+
+    def run(batches):
+        current, version, deadline, alive = object(), None, None, False
+        for batch in batches:
+            out = ([], [])
+            for key, seq, now, op, until, condition, expected in zip(*(batch.column(c).to_pylist() for c in ("key", "seq", "now_ms", "op", "deadline_ms", "condition", "expected")), strict=True):
+                if key != current:
+                    current, version, deadline, alive = key, None, None, False
+                if alive and deadline is not None and now >= deadline:
+                    alive = False
+                fits = condition is None or (not alive if condition == "absent" else alive and version == expected)
+                if not fits:
+                    outcome = "condition_failed"
+                elif op == "expire" and not alive:
+                    outcome = "key_missing"
+                else:
+                    outcome, version = "applied", seq
+                    kept = deadline if alive and op == "put" else None
+                    deadline = (until or None) if until is not None else kept
+                    alive = op != "delete"
+                out[0].append(outcome)
+                out[1].append(version)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("seq"), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], names=["key", "seq", "outcome", "version"])
+
+    rows = requests.select("key", "seq", "now_ms", "op", "deadline_ms", "condition", "expected").repartition("key").sortWithinPartitions("key", "seq")
+    return rows.mapInArrow(run, f"key {requests.schema['key'].dataType.simpleString()}, seq long, outcome string, version long")
+
+
+def ordered_digest(records: DataFrame, by: str, token: str, order: list[str], record: Column, bits: int = 60, chunks: int = 10) -> DataFrame:
+    """(by, records, digest): a digest over a range's records in order, from digests of chunks (by the 2^chunks first parts of the token) that are digested in order; so a task holds one chunk of a range."""
+    part = F.shiftright(token, bits - chunks)
+    rows = records.select(by, part.alias("_part"), F.struct(*order, F.sha2(record, 256).alias("d")).alias("r"))
+    one = rows.groupBy(by, "_part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"]), ""), 256).alias("d"))
+    return one.groupBy(by).agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "d"))), lambda r: r["d"]), ""), 256).alias("digest"))

@@ -60,23 +60,28 @@ def mismatches(expected: DataFrame, observed: DataFrame, key: str, value: str) -
 def rollbacks(history: DataFrame, keep: int = 64) -> DataFrame:
     """(key, seq, verdict, kind) of each read, from a key's acknowledged writes and reads in order (key, seq, op put|delete|read, value, ambiguous).
 
-    A read of a possible state matches and settles it; a read of an older acknowledged state is a rollback of a kind; where older states were evicted (more than keep) it is undecidable, else impossible. An ambiguous write adds a possible state; a definite one replaces all.
+    A read of a possible state matches and settles it; a read of an older acknowledged state is a rollback of a kind, and settles it; where older states were evicted (more than keep) it is undecidable, else impossible. An ambiguous write adds a possible state; a definite one replaces all.
     """
 
     def run(pdf):
         import pandas as pd
 
         out, possible, past, lost = [], [None], [None], 0
+
+        def remember(value) -> None:
+            nonlocal lost
+            if value in past:
+                past.remove(value)
+            past.append(value)
+            if len(past) > keep:
+                past.pop(0)
+                lost += 1
+
         for r in pdf.sort_values("seq").itertuples():
             value = None if r.op == "delete" or pd.isna(r.value) else r.value
             if r.op != "read":
                 possible = [*possible, value] if r.ambiguous else [value]
-                if value in past:
-                    past.remove(value)
-                past.append(value)
-                if len(past) > keep:
-                    past.pop(0)
-                    lost += 1
+                remember(value)
                 continue
             if value in possible:
                 verdict, kind = "matches", None
@@ -85,8 +90,9 @@ def rollbacks(history: DataFrame, keep: int = 64) -> DataFrame:
                 kind = "acknowledged_value_lost" if value is None else "acknowledged_delete_lost" if None in possible else "older_value_reappeared"
             else:
                 verdict, kind = ("undecidable" if lost else "impossible"), None
-            if verdict in ("matches", "rollback"):
+            if kind or verdict == "matches":
                 possible = [value]
+                remember(value)
             out.append((r.key, r.seq, verdict, kind))
         return pd.DataFrame(out, columns=["key", "seq", "verdict", "kind"])
 

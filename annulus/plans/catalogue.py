@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from annulus.plans import changes, cluster, keyspace, measurement, placement, stages
+from annulus.plans import changes, cluster, keyspace, loads, measurement, placement, stages
 
-PARTS = (placement, keyspace, measurement, changes, cluster, stages)
+PARTS = (placement, keyspace, measurement, changes, cluster, stages, loads)
 
 
 def queries():

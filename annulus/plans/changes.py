@@ -46,23 +46,6 @@ def digest_equality(spark, sf_dir):
     return both.select("range", "records", "copied", (F.col("digest").eqNullSafe(F.col("other"))).alias("equal"))
 
 
-def zipf_pick(spark, sf_dir):
-    """Keys drawn by a Zipf law (exponent 0.99 over 50 keys) from uniform numbers."""
-    ranks = spark.range(50).select(F.col("id").alias("rank"), F.pow(F.col("id") + 1.0, F.lit(-0.99)).alias("w"))
-    upto = ranks.select("rank", (F.sum("w").over(W.orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)) / F.sum("w").over(W.partitionBy())).alias("upto"))
-    table = upto.agg(F.array_sort(F.collect_list("upto")).alias("law"))  # 50 numbers
-    u = F.pmod(portable_token(F.col("o_orderkey").cast("string")), F.lit(1_000_000)) / 1_000_000.0
-    drawn = data.read(spark, sf_dir, "orders").select(u.alias("u")).join(F.broadcast(table))
-    return drawn.groupBy(F.least(F.lit(49), F.size(F.filter("law", lambda x: x <= F.col("u")))).alias("rank")).agg(F.count("*").alias("n"))
-
-
-def mix_choice(spark, sf_dir):
-    """The operation of each step, by a stride that is coprime to the mix's total (60:25:15)."""
-    at = F.pmod(F.col("o_orderkey") * 37 + F.col("o_custkey") % 4 * 11, F.lit(100))
-    op = F.when(at < 60, "get").when(at < 85, "put").otherwise("delete")
-    return data.read(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 4).alias("worker"), op.alias("op")).agg(F.count("*").alias("n"))
-
-
 def stats_merge(spark, sf_dir):
     """Workers' maps of counts, summed by key."""
     o = data.read(spark, sf_dir, "orders")
@@ -78,13 +61,6 @@ def stage_match(spark, sf_dir):
     return run(done, "a").join(run(~done, "b"), "rate", "full").select("rate", "a", "b")
 
 
-def flatten_json(spark, sf_dir):
-    """Numbers of the events' properties, by path."""
-    e = data.read(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("p"))
-    pairs = e.select("event_id", F.explode("p").alias("path", "v")).withColumn("number", F.col("v").try_cast("double"))
-    return pairs.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum("number"), 4).alias("total"))
-
-
 def byte_page(spark, sf_dir):
     """A snapshot page of at most 2,000 bytes of keys and values, at least one record, tombstones included."""
     order = W.orderBy("token", "key").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -189,11 +165,8 @@ def oracle_sql():
         "source_cleanup": f"SELECT key FROM ({both}) WHERE list_contains(rb, 'NATION_1') AND NOT list_contains(ra, 'NATION_1')",
         "receipt_purge": sql(f"SELECT op, count(*) AS receipts, sum(strlen(key) + 96)::BIGINT AS bytes, greatest(1, min(at_ms + 518400000) - {keyspace.NOW}) AS retry_ms FROM w WHERE at_ms + 518400000 > {keyspace.NOW} GROUP BY 1"),
         "digest_equality": sql(f"SELECT range, a.records, b.records AS copied, a.d IS NOT DISTINCT FROM b.d AS equal FROM (SELECT range, count(*) AS records, {digest} AS d FROM x GROUP BY 1) a FULL JOIN (SELECT range, count(*) AS records, {digest} AS d FROM x WHERE seq % 13 <> 0 GROUP BY 1) b USING (range)", "x AS (SELECT (token >> 56)::INT AS range, key || '|' || seq AS r, seq FROM s)"),
-        "zipf_pick": "WITH w AS (SELECT k AS rank, sum(pow(k + 1.0::DOUBLE, -0.99)) OVER (ORDER BY k) / sum(pow(k + 1.0::DOUBLE, -0.99)) OVER () AS upto FROM range(50) t(k)), u AS (SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 15))::BIGINT % 1000000 / 1000000.0::DOUBLE AS u FROM orders), d AS (SELECT o_orderkey, count(rank) AS c FROM u LEFT JOIN w ON upto <= u GROUP BY 1) SELECT least(49, c)::INT AS rank, count(*) AS n FROM d GROUP BY 1",
-        "mix_choice": "SELECT o_custkey % 4 AS worker, CASE WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 60 THEN 'get' WHEN (o_orderkey * 37 + o_custkey % 4 * 11) % 100 < 85 THEN 'put' ELSE 'delete' END AS op, count(*) AS n FROM orders GROUP BY 1, 2",
         "stats_merge": "SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P')) t(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1",
         "stage_match": "SELECT rate, a, b FROM (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS b FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) USING (rate)",
-        "flatten_json": "WITH k AS (SELECT props::JSON AS p, unnest(json_keys(props::JSON)) AS path FROM events) SELECT path, count(*) AS n, round(sum(TRY_CAST(p ->> path AS DOUBLE)), 4) AS total FROM k GROUP BY 1",
         "byte_page": sql("SELECT key, token FROM (SELECT *, sum(strlen(key) + strlen(value) + 64) OVER (ORDER BY token, key ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY token, key) AS nth FROM s) WHERE upto <= 2000 OR nth = 1"),
         "replication_lag": sql(f"SELECT user_id % 8 AS stream, CASE WHEN count(*) FILTER (NOT a) = 0 THEN 0 ELSE {keyspace.NOW + 10 * 86_400_000} - min(at_ms) FILTER (NOT a) END AS lag_ms, count(*) FILTER (NOT a) AS waiting FROM (SELECT *, seq <= 9000 + user_id % 8 * 200 AS a FROM w) GROUP BY 1"),
         "moved_cohorts": f"SELECT i % 3 AS cohort, count(*) AS n, min(token) AS first FROM (SELECT token, row_number() OVER (ORDER BY token, key) - 1 AS i FROM ({both}) WHERE ob <> oa) GROUP BY 1",

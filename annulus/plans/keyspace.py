@@ -142,7 +142,7 @@ def range_digests(spark, sf_dir):
 
 def ordered_digests(spark, sf_dir):
     state = records(spark, sf_dir).withColumn("range", F.shiftright("token", 56).cast("int"))
-    return log.ordered_digest(state, "range", ["token", "key"], F.concat_ws("|", "key", F.col("epoch").cast("string"), F.col("seq").cast("string")))
+    return log.ordered_digest(state, "range", "token", ["token", "key"], F.concat_ws("|", "key", F.col("epoch").cast("string"), F.col("seq").cast("string")))
 
 
 def linearizable_mutations(spark, sf_dir):
@@ -200,7 +200,7 @@ p AS (SELECT token, row_number() OVER o AS nth, sum(k) OVER o AS k, sum(b) OVER
         "contiguity_gaps": _sql("SELECT * FROM (SELECT user_id % 8 AS stream, seq, lag(seq) OVER (PARTITION BY user_id % 8 ORDER BY seq) AS before FROM w) WHERE before IS NOT NULL AND seq <> before + 1"),
         "dedup_conflicts": _sql("SELECT mutation, count(*) AS attempts, min_by(fp, seq) AS answer, count(DISTINCT fp) > 1 AS conflict FROM (SELECT (seq % 2500) || '-' || op AS mutation, md5(key || '|' || op) AS fp, seq FROM m) GROUP BY 1"),
         "range_digests": _sql(f"SELECT (token >> 56)::INT AS range, count(*) AS records, bit_xor({_TOK.format(chr(39) + 'a' + chr(39) + ' || r')}) || ':' || bit_xor({_TOK.format(chr(39) + 'b' + chr(39) + ' || r')}) AS digest FROM (SELECT token, key || '|' || epoch || '|' || seq AS r FROM s) GROUP BY 1"),
-        "ordered_digests": _sql("SELECT (token >> 56)::INT AS range, count(*) AS records, sha256(string_agg(sha256(key || '|' || epoch || '|' || seq), '' ORDER BY token, key)) AS digest FROM s GROUP BY 1"),
+        "ordered_digests": _sql("SELECT range, sum(n)::BIGINT AS records, sha256(string_agg(d, '' ORDER BY part)) AS digest FROM (SELECT (token >> 56)::INT AS range, token >> 50 AS part, count(*) AS n, sha256(string_agg(sha256(key || '|' || epoch || '|' || seq), '' ORDER BY token, key)) AS d FROM s GROUP BY 1, 2) GROUP BY 1"),
         "linearizable_mutations": _sql("SELECT key, version, earlier FROM (SELECT a.key, a.version, max(b.version) AS earlier FROM h a JOIN h b ON a.key = b.key AND b.completed < a.invoked GROUP BY a.key, a.version, a.invoked) WHERE earlier > version", "h AS (SELECT key, at_ms AS invoked, at_ms + (seq % 5) * 60000 AS completed, seq * 7919 % 10007 AS version FROM w)"),
     }
 
