@@ -223,9 +223,22 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+#: Up to so many ids that stand on more than one row (under 100 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_REPEATS = 100_000
+
+
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component, with all its columns."""
-    keep = group(docs, id_col, text_col).filter("first").select("id", "mark").distinct()
+    """docs with one row of each component, with all its columns: texts go through one shuffle, that of the join with what is kept. Rows that share id and text are counted on the slim frame, and only those of kept ones that repeat are grouped.
+
+    Nulls, empty texts, repeats and empty tables: see group. Columns keep their names, whatever they are.
+    """
+    keep = checkpointed(group(docs, id_col, text_col).filter("first").groupBy("id", "mark").agg(F.count("*").alias("n")))
     row = docs.select(F.struct("*").alias("row")).withColumn("own", F.xxhash64(F.col("row")[text_col]))
     same = F.col("row")[id_col].eqNullSafe(F.col("id")) & (F.col("own") == F.col("mark"))
-    return row.join(keep, same, "left_semi").groupBy(F.col("row")[id_col].alias("id"), "own").agg(F.first("row").alias("row")).select("row.*")
+    once = row.join(keep.filter("n = 1"), same, "left_semi").select("row.*")
+    again = keep.filter("n > 1")
+    n_again = again.count()
+    if not n_again:
+        return once
+    again = F.broadcast(again) if n_again <= BROADCAST_REPEATS else again
+    return once.unionByName(row.join(again, same, "left_semi").groupBy(F.col("row")[id_col].alias("id"), "own").agg(F.first("row").alias("row")).select("row.*"))
