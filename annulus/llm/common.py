@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annulus.shared import checkpointed, shared_folder
+
+__all__ = ["SPACE", "checkpointed", "deleted", "literal_array", "n_words", "shared_folder", "table", "words"]
+
 #: White space that separates words, as a Java regular expression: space and U+0009 to U+000D.
 SPACE = r"[ \t-\r]+"
 
@@ -28,18 +30,10 @@ def n_words(text: Column) -> Column:
     return F.when(F.size(parts) == 1, 1 - empty(parts[0])).otherwise(F.size(parts) - empty(F.element_at(parts, 1)) - empty(F.element_at(parts, -1))).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of its own where none is named."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annulus-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, kept in the shared folder that the cluster names."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def literal_array(values) -> Column:
