@@ -106,3 +106,24 @@ def ordered_digest(records: DataFrame, by: str, token: str, order: list[str], re
     rows = records.select(by, part.alias("_part"), F.struct(*order, F.sha2(record, 256).alias("d")).alias("r"))
     one = rows.groupBy(by, "_part").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"]), ""), 256).alias("d"))
     return one.groupBy(by).agg(F.sum("n").alias("records"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_part", "d"))), lambda r: r["d"]), ""), 256).alias("digest"))
+
+
+def entry_errors(entries: DataFrame, ranges: DataFrame, node: str, epoch: int, max_key: int = 1 << 10, max_value: int = 1 << 20, bits: int = 60) -> DataFrame:
+    """entries (stream_seq, mutation_id, key, value, deleted, epoch, owner, version_epoch, version_owner, token) with `error`: the first rule by which a follower refuses one, null if it may apply it. The order of a stream is checked apart, entry by entry."""
+    from annulus.operators.ring import ring_join
+
+    placed = ring_join(entries, ranges.select("start", "end", F.col("owner").alias("_owner"), "followers"), bits).drop("start", "end")
+    size = lambda c: F.coalesce(F.octet_length(c), F.lit(0))
+    rules = [
+        (F.col("stream_seq") == 0, "sequence must be greater than zero"),
+        ((size("mutation_id") == 0) | (size("mutation_id") > 128), "mutation id size"),
+        ((size("key") == 0) | (size("key") > max_key), "key size"),
+        (size("value") > max_value, "value size"),
+        (F.col("deleted") & (size("value") > 0), "deleted entry with a value"),
+        (F.col("version_epoch").isNull(), "no version"),
+        ((F.col("version_epoch") != F.col("epoch")) | (F.col("version_owner") != F.col("owner")), "version of another stream"),
+        (F.col("epoch") != epoch, "another epoch"),
+        (F.col("owner") != F.col("_owner"), "not the current owner"),
+        (~F.array_contains("followers", node), "not a follower"),
+    ]
+    return placed.withColumn("error", F.coalesce(*[F.when(holds, F.lit(why)) for holds, why in rules])).drop("_owner", "followers")
