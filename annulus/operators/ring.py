@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Most ring positions; what is broadcast is a few times as many rows.
 MOST_TOKENS = 1 << 20
+#: Pieces of ranges (about 100 bytes each) that are broadcast at most.
+BROADCAST_PARTS = 1 << 20
 
 
 def build_ring(members: DataFrame, vnodes: int, token) -> DataFrame:
@@ -64,12 +66,13 @@ def unwrap(ranges: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def ring_join(keys: DataFrame, ranges: DataFrame, bits: int = 60, low: int = 0, buckets: int = 12, token: str = "token", how: str = "inner") -> DataFrame:
-    """keys with the columns of the range that holds their token. Ranges are cut at the borders of 2^buckets equal parts of the token space (`bits` wide, from `low`), and joined by part."""
+    """keys with the columns of the range that holds their token. Ranges are cut at the borders of 2^buckets equal parts of the token space (`bits` wide, from `low`), and joined by part. Up to BROADCAST_PARTS pieces, counted first, are broadcast; beyond, keys are dealt by part."""
     high = low + (1 << bits) - 1
     shift = bits - buckets
     parts = unwrap(ranges, low, high).withColumn("bucket", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
     at = keys.withColumn("bucket", F.shiftright(F.col(token), shift))
-    return at.join(F.broadcast(parts), (at["bucket"] == parts["bucket"]) & at[token].between(parts["lo"], parts["hi"]), how).drop(parts["bucket"]).drop("bucket", "lo", "hi")
+    near = F.broadcast(parts) if parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS else parts
+    return at.join(near, (at["bucket"] == parts["bucket"]) & at[token].between(parts["lo"], parts["hi"]), how).drop(parts["bucket"]).drop("bucket", "lo", "hi")
 
 
 def owned_keys(placed: DataFrame, members: DataFrame) -> DataFrame:

@@ -62,16 +62,19 @@ def test_more_replicas_than_members(spark):
     assert sorted((r["owner"], r["followers"]) for r in got) == [("a", ["b"]), ("b", ["a"])]
 
 
-@pytest.mark.skipif("RING_DOMAIN" not in os.environ, reason="the recorded ring's domain isn't given")
+#: Keys that each member of a recorded run owned: 100,000 keys, 200 virtual nodes, seed 1.
+RECORDED = {"node-1": 10184, "node-2": 9706, "node-3": 10783, "node-4": 10678, "node-5": 10328, "node-6": 10510, "node-7": 9334, "node-8": 9337, "node-9": 8854, "node-10": 10286}
+
+
 def test_recorded_balance(spark):
-    """10 members of 200 virtual nodes, seed 1, 100,000 keys: the recorded spread. RING_DOMAIN: the domain of the recorded ring, without its zero byte."""
-    domain = os.environ["RING_DOMAIN"].encode() + b"\0"
-    members = spark.createDataFrame([(f"node-{i}",) for i in range(1, 11)], "node_id string")
-    points = ring.build_ring(members, 200, lambda n, v: tokens.vnode_token(n, v, 1, domain)).select("token", "node_id")
-    ranges = ring.derived_ranges(points, 1, 10)
+    """The fixture holds the tokens of that run's ring: 10 members of 200 virtual nodes."""
+    with open(os.path.join(os.path.dirname(__file__), "fixtures", "ring_of_ten.tsv")) as f:
+        points = spark.createDataFrame([(int(t) - (1 << 63), n) for t, n in (line.split() for line in f)], "token long, node_id string")
+    members = points.select("node_id").distinct()
     keys = spark.range(100_000).select(tokens.xxh3_token(tokens.big_endian_key(F.col("id")), 1).alias("token"))
-    placed = ring.ring_join(keys, ranges, bits=64, low=-(1 << 63))
-    found = ring.balance(ring.owned_keys(placed, members)).first()
+    owned = ring.owned_keys(ring.ring_join(keys, ring.derived_ranges(points, 1, 10), bits=64, low=-(1 << 63)), members)
+    assert {r["node_id"]: r["owned_keys"] for r in owned.collect()} == RECORDED
+    found = ring.balance(owned).first()
     assert found["total"] == 100_000
     assert abs(found["cv"] - 0.06195955132180994) < 1e-12 and round(found["max_over_mean"], 4) == 1.0783
 
@@ -106,3 +109,12 @@ def test_evenness_grows_with_virtual_nodes(spark):
         placed = ring.ring_join(keys, ring.derived_ranges(points, 1, 10), bits=64, low=-(1 << 63))
         spread.append(ring.balance(ring.owned_keys(placed, members)).first())
     assert [s["total"] for s in spread] == [20_000] * 2 and spread[1]["cv"] < 0.12 < spread[0]["cv"]
+
+
+def test_large_rings_are_not_broadcast(spark, monkeypatch):
+    keys = spark.range(500).select((F.col("id") * 37 % 1024).alias("token"))
+    ranges = ring.derived_ranges(frame(spark, [(i * 16 + 3, f"n{i % 5}") for i in range(64)]), 2, 5)
+    joined = lambda: sorted(map(str, ring.ring_join(keys, ranges, bits=10, buckets=4).collect()))
+    want = joined()
+    monkeypatch.setattr(ring, "BROADCAST_PARTS", 10)
+    assert joined() == want and len(want) == 500
