@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import string
 import sys
@@ -18,8 +19,12 @@ from annulus.llm.common import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-KEY = b"annulus-surrogates-1"
+#: The setting of a session that names the secret key.
+SURROGATE_KEY = "spark.annulus.surrogate.key"
+_own_keys: dict[str, bytes] = {}
 ROUNDS = 8
+#: Characters that are replaced together: below the 512 bits that two halves of a round's function have.
+PIECE = 100
 #: Up to so many names whose first surrogate is taken (under 100 bytes each) are broadcast; more are joined.
 BROADCAST_NAMES = 100_000
 
@@ -46,15 +51,21 @@ TITLE = re.compile(r"(?<!\w)(?i:(" + "|".join(sorted(GENDER, key=len, reverse=Tr
 #: A word after a title, without a possessive ending, and how many of them at most are its names.
 WORD = r"[^\W\d_](?:[\w'’-]*?(?=['’]s(?![\w'’-]))|[\w'’-]*)"
 NAME, NAMES, MENTION = re.compile(rf"[\x20\xa0]({WORD})"), 3, re.compile(rf"(?<!\w){WORD}")
+#: Words in lower case that stand within names, and stay.
+PARTICLES = frozenset("van von vom der den de del della di da dos du la le el al bin ibn ben ter ten zu zum zur af av".split())
 
 #: Syllables that names are made of, and endings of given names by gender, for each script.
 SYLLABLES = {"LATIN": "ba be bo da de do fa fe ga go ha ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se ta te ti to va ve vi", "CYRILLIC": "ба бе бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не но па пе ра ре ри ро са се та те ти то ва ве ви", "GREEK": "βα βε βο δα δε δο γα γο κα κε κο λα λε λι λο μα με μι μο να νε νο πα πε ρα ρε ρι ρο σα σε τα τε τι το"}
 ENDINGS = {"LATIN": {"m": "n", "f": "a", "": "l"}, "CYRILLIC": {"m": "н", "f": "я", "": "в"}, "GREEK": {"m": "ς", "f": "η", "": "ν"}}
 
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+PLACES = frozenset(LETTERS + LETTERS.upper() + DIGITS)
+#: What stands for each letter and digit in a shape.
+SHAPE = {ord(c): "a" for c in LETTERS + LETTERS.upper()} | {ord(c): "0" for c in DIGITS}
 
 
 def _prf(key: bytes, *parts) -> int:
+    """256 keyed bits."""
     return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), key=key, digest_size=32).digest(), "big")
 
 
@@ -82,14 +93,25 @@ def displaced(value: int, size: int, key: bytes, tweak: str) -> int:
     return walk((inner + shift) % size, range(ROUNDS - 1, -1, -1))
 
 
-def shaped(text: str, key: bytes, tweak: str, fixed: frozenset = frozenset()) -> str:
-    """text with its letters and digits replaced by others of the same class and case, all others and the places in fixed kept: one to one on texts of a shape."""
-    places = [(i, LETTERS if c.isalpha() else DIGITS) for i, c in enumerate(text) if i not in fixed and c.lower() in LETTERS + DIGITS]
+def shaped(text: str, key: bytes, tweak: str) -> str:
+    """text with its letters and digits replaced by others of the same class and case, and all else kept: one to one on texts of a shape, and no piece of PIECE characters with a letter or digit stays as it is.
+
+    The pieces of a longer text are replaced in turn, each by a permutation that the pieces before it choose.
+    """
+    state, out = _prf(key, tweak, text.translate(SHAPE)), []
+    for first in range(0, len(text), PIECE):
+        piece = text[first : first + PIECE]
+        out.append(_piece(piece, key, f"{state:x}"))
+        state = _prf(key, "next", state, piece)
+    return "".join(out)
+
+
+def _piece(text: str, key: bytes, tweak: str) -> str:
+    places = [(i, LETTERS if c.isalpha() else DIGITS) for i, c in enumerate(text) if c in PLACES]
     value, size = 0, 1
     for i, of in places:
         value, size = value * len(of) + of.index(text[i].lower()), size * len(of)
-    held = "".join(c if i in fixed else "a" if c.lower() in LETTERS else "0" if c in DIGITS else c for i, c in enumerate(text))
-    value = displaced(value, size, key, f"{tweak}:{held}")
+    value = displaced(value, size, key, tweak)
     out = list(text)
     for i, of in reversed(places):
         value, at = divmod(value, len(of))
@@ -169,9 +191,14 @@ def script(name: str) -> str:
 
 
 def name_parts(gender: str, text: str, at: int) -> list[tuple[int, int, str, str]]:
-    """(start, end, class, normal form) of each name after a title that ends at a place: capitalised words up to the next title. The last is a family name, those before are given names of the title's gender."""
+    """(start, end, class, normal form) of each name after a title that ends at a place: capitalised words up to the next title, with particles between them or before the first. The last is a family name, those before are given names of the title's gender."""
     parts = []
-    while len(parts) < NAMES and (m := NAME.match(text, at)) and m[1][0].isupper() and m[1].lower() not in GENDER:
+    while len(parts) < NAMES:
+        m = NAME.match(text, at)
+        while m and m[1] in PARTICLES:
+            m = NAME.match(text, m.end())
+        if not m or not m[1][0].isupper() or m[1].lower() in GENDER:
+            break
         parts.append(m)
         at = m.end()
     out = []
@@ -219,19 +246,19 @@ def find(text: str) -> list[tuple[int, int, str, object]]:
     for m in TITLE.finditer(text):
         if m[1][0].isupper() or ord(m[1][0]) > 127:
             for a, b, its, normal in name_parts(GENDER.get(m[1].lower(), ""), text, m.end()):
-                found.append((a, len(PATTERNS), b, "person", (its, normal)))
-                # A name that stands in two classes is that of a family elsewhere.
-                if normal not in names or its.startswith("family"):
+                found.append((a, len(PATTERNS), b, "person", normal))
+                # A name that stands in two classes is a given name, of the first gender that it has.
+                if normal not in names or (names[normal].startswith("family"), len(names[normal].split(":")[1])) > (its.startswith("family"), 1):
                     names[normal] = its
     if names:
         for m in MENTION.finditer(text):
-            if m[0][0].isupper() and (its := names.get(m[0].lower())):
-                found.append((m.start(), len(PATTERNS) + 1, m.end(), "person", (its, m[0].lower())))
+            if m[0][0].isupper() and m[0].lower() in names:
+                found.append((m.start(), len(PATTERNS) + 1, m.end(), "person", m[0].lower()))
     found.sort(key=lambda x: (x[0], x[1], -x[2]))
     out, end = [], 0
     for start, _, stop, kind, match in found:
         if start >= end:
-            out.append((start, stop, kind, match))
+            out.append((start, stop, kind, (names[match], match) if kind == "person" else match))
             end = stop
     return out
 
@@ -279,10 +306,18 @@ def settled_names(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
         names = checkpointed(state.select("kind", "name", (F.col("attempt") + F.col("again").cast("int")).alias("attempt")))
 
 
-def replace(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def session_key(spark) -> bytes:
+    """The secret key that the session names in SURROGATE_KEY; where none is named, a random one for the application, so that surrogates can't be traced back, nor compared with those of another run."""
+    if named := spark.conf.get(SURROGATE_KEY, None):
+        return hashlib.blake2b(named.encode(), digest_size=32).digest()
+    return _own_keys.setdefault(spark.sparkContext.applicationId, os.urandom(32))
+
+
+def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs as a struct `row` in which the text has surrogates, with `spans`: structs (kind, start, end) of the entities in the text as it was (code points, end exclusive).
 
-    Emails, IBANs, IPv4 addresses, card, social-security and phone numbers go through a keyed permutation of all values of their shape, without fixed points: equal entities get equal surrogates everywhere, distinct ones distinct ones, checksums stay valid or invalid, separators, case and lengths stay. Names after a title get made-up ones of their script and gender, and so do their other mentions in the same text if they are capitalised; those of all documents are checked for collisions, with each other and with names that occur, and tried again.
+    Emails, IBANs, IPv4 addresses, card, social-security and phone numbers go through a keyed permutation of all values of their shape, without fixed points: equal entities get equal surrogates everywhere, distinct ones distinct ones, checksums stay valid or invalid, separators, case and lengths stay. Names after a title get made-up ones of their script and gender, and so do their other mentions in the same text if they are capitalised: in a text, a name has one surrogate, in whatever role it stands. Names of all documents are checked for collisions, with each other and with names that occur, and tried again.
+    key: secret (at most 64 bytes); whoever has it can trace surrogates back.
     Null texts stay null and have no spans; empty ones stay empty. Repeated rows and null ids are handled like any other. An empty table gives an empty one. Other columns are carried in `row`, whatever their names.
     """
     spark = docs.sparkSession

@@ -51,7 +51,7 @@ def op9_neardup(spark, sf_dir):
 
 
 def op10_pii(spark, sf_dir):
-    replaced = pii.replace(table(spark, sf_dir, "documents"))
+    replaced = pii.replace(table(spark, sf_dir, "documents"), pii.session_key(spark))
     return replaced.select("row.doc_id", "row.text", F.size("spans").cast("long").alias("n_entities"), secrets.joined(F.col("spans")).alias("spans"))
 
 
