@@ -25,6 +25,14 @@ def page(records: DataFrame, start: int, max_keys: int, max_bytes: int, max_exam
     return first.filter("live").join(F.broadcast(taken), "token").select("key", "token")
 
 
+def count_page(records: DataFrame, start: int, max_keys: int, max_bytes: int, max_examined: int = 10_000) -> DataFrame:
+    """(keys, next) of a page without its keys: how many it has, and the token that the next one starts at (null: the end)."""
+    held = page(records, start, max_keys, max_bytes, max_examined).agg(F.count("*").alias("keys"), F.max("token").alias("last"))
+    first = records.filter(F.col("token") >= start).orderBy("token", "key").limit(max_examined + 1)
+    after = first.filter("live").join(F.broadcast(held), F.col("token") > F.col("last")).agg(F.min("token").alias("next"))
+    return held.select("keys").join(after)
+
+
 def scan(records: DataFrame, cursor: int, count: int, keep: Column) -> DataFrame:
     """(key, token, next): the kept ones of the next `count` live keys, kept or not, from a cursor, rounded up to whole tokens; next is the cursor after them, 0 when done."""
     live = records.filter(F.col("live") & (F.col("token") >= cursor))

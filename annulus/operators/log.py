@@ -33,6 +33,32 @@ def replay(snapshot: DataFrame, journal: DataFrame, key: str, version: list[str]
     return latest(snapshot.unionByName(journal.filter(F.col("watermark") > after).drop("watermark")), key, version)
 
 
+def replay_checked(snapshot: DataFrame, journal: DataFrame, key: str, version: list[str], after: int) -> DataFrame:
+    """replay of a journal whose watermarks must follow on `after` without a gap; an error where they don't."""
+    late = journal.filter(F.col("watermark") > after).agg(F.count_distinct("watermark").alias("n"), F.max("watermark").alias("last")).first()
+    if late["n"] and late["last"] - after != late["n"]:
+        raise ValueError(f"the journal lacks {late['last'] - after - late['n']} entries past {after}")
+    return replay(snapshot, journal, key, version, after)
+
+
+def replication_lag(progress: DataFrame, by: list[str], now: int) -> DataFrame:
+    """(by, lag_ms) of streams (head, acked, oldest_unacked_ms): 0 where all is answered, else since the oldest entry without an answer; null (unknown) where there is no such entry or a side is silent."""
+    lag = F.when(F.col("acked") >= F.col("head"), F.lit(0).cast("long")).otherwise(F.greatest(F.lit(now) - F.col("oldest_unacked_ms"), F.lit(0)))
+    return progress.select(*by, F.when(F.col("head").isNotNull() & F.col("acked").isNotNull(), lag).alias("lag_ms"))
+
+
+def receipts_kept(receipts: DataFrame, now: int, retention_ms: int, overhead: int = 96) -> DataFrame:
+    """Receipts (at_ms, mutation_id, key) within their retention, with their cost in bytes."""
+    return receipts.filter(F.col("at_ms") + retention_ms > now).withColumn("cost", (F.octet_length("mutation_id") + F.octet_length("key") + overhead).cast("long"))
+
+
+def admitted(receipts: DataFrame, now: int, retention_ms: int, capacity: int, asked: int) -> DataFrame:
+    """(bytes, fits, retry_ms): what kept receipts (see receipts_kept) cost, whether `asked` more bytes fit a capacity, and else the time to the first receipt's end, at least 1 ms."""
+    used = F.coalesce(F.sum("cost"), F.lit(0))
+    wait = F.greatest(F.lit(1), F.min("at_ms") + retention_ms - now)
+    return receipts.agg(used.alias("bytes"), (used + asked <= capacity).alias("fits"), F.when(used + asked > capacity, wait).alias("retry_ms"))
+
+
 def gaps(entries: DataFrame, by: str, seq: str) -> DataFrame:
     """(by, seq, before): entries whose predecessor isn't the sequence number before; a repeat is no gap."""
     order = W.partitionBy(by).orderBy(seq)
@@ -57,9 +83,15 @@ def range_digest(records: DataFrame, by: str, record: Column) -> DataFrame:
     return records.groupBy(by).agg(F.count("*").alias("records"), F.concat_ws(":", F.bit_xor(half("a")).cast("string"), F.bit_xor(half("b")).cast("string")).alias("digest"))
 
 
-def sweep(records: DataFrame, now: int, most: int) -> DataFrame:
-    """Due records, the earliest deadlines first, at most so many."""
-    return records.filter(F.col("expires_at_ms") <= now).orderBy("expires_at_ms", "key").limit(most)
+def sweep(records: DataFrame, now: int, most: int, migrating: DataFrame | None = None, bits: int = 60) -> DataFrame:
+    """Due records, the earliest deadlines first, at most so many; those in ranges that migrate (start, end) wait."""
+    due = records.filter(F.col("expires_at_ms") <= now)
+    if migrating is not None:
+        from annulus.operators.ring import ring_join
+
+        held = ring_join(due.select("key", "token"), migrating.select("start", "end"), bits).select("key").distinct()
+        due = due.join(held, "key", "left_anti")
+    return due.orderBy("expires_at_ms", "key").limit(most)
 
 
 def next_deadline(given: Column, current: Column, is_live: Column) -> Column:

@@ -266,3 +266,27 @@ def flat_stage(runs: DataFrame) -> DataFrame:
     errors = [one(r, "errors").alias(f"err_{r}") for r in LATENCY_REASONS]
     latencies = [F.col("s.latency_us")[op][p].alias(f"{op}_{p}") for op in ("get", "put", "delete") for p in ("p50", "p99")]
     return stage.select("run", "nth", F.col("s.target_rate").alias("target_rate"), *ops, *errors, *latencies)
+
+
+def merged_stats(workers: DataFrame, counts: str, samples: str, most: int) -> DataFrame:
+    """(counts, samples): workers' maps of counts, summed by key, and the first samples of all, at most so many."""
+    summed = workers.select(F.explode(counts).alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias("counts"))
+    shown = workers.select(F.explode(samples).alias("s")).orderBy("s").limit(most).agg(F.array_sort(F.collect_list("s")).alias("samples"))
+    return summed.join(shown)
+
+
+def comparable(runs: DataFrame, left_out=("output_dir",)) -> DataFrame:
+    """(field, values, same): the fields of runs' settings (run, config: JSON), with how many different values they have, key order aside; a missing field is a value of its own."""
+    from annulus.functions.choices import canonical
+
+    fields = runs.select("run", F.explode(F.variant_get(F.parse_json("config"), "$", "map<string,variant>")).alias("field", "v")).filter(~F.col("field").isin(*left_out))
+    all_runs = runs.select("run").distinct()
+    each = all_runs.join(F.broadcast(fields.select("field").distinct())).join(fields.select("run", "field", canonical(F.to_json("v")).alias("value")), ["run", "field"], "left")
+    return each.groupBy("field").agg(F.count_distinct(F.coalesce("value", F.lit("missing"))).alias("values")).withColumn("same", F.col("values") == 1)
+
+
+def pressure(nodes: DataFrame, cpu: DataFrame, rpc: DataFrame, by: list[str]) -> DataFrame:
+    """(by, nodes, writes, peak, wait_s, hold_s, cores, calls): samples of nodes' pressure (by, node, writes, peak, wait_ns, hold_ns) rolled up, beside processor use (by, cores) and calls (by, calls), null where these lack."""
+    rolled = nodes.groupBy(*by).agg(F.count("*").alias("nodes"), F.sum("writes").alias("writes"), F.max("peak").alias("peak"), (F.sum("wait_ns") / 1e9).alias("wait_s"), (F.sum("hold_ns") / 1e9).alias("hold_s"))
+    one = lambda rows, c: rows.groupBy(*by).agg(F.sum(c).alias(c))
+    return rolled.join(one(cpu, "cores"), by, "left").join(one(rpc, "calls"), by, "left")

@@ -110,3 +110,28 @@ def allowed_states(ledger: DataFrame, key: str) -> DataFrame:
     found = tail.groupBy(key).agg(F.collect_set(state).alias("states"), first)
     missing = F.array(F.struct(F.lit(None).cast("string").alias("v")))
     return found.select(key, F.sort_array(F.array_distinct(F.transform(F.when(F.col("fresh") == 1, F.concat("states", missing)).otherwise(F.col("states")), lambda s: s["v"]))).alias("allowed"))
+
+
+# What a key may end with, by its last write, whether that write's outcome is known, and whether it had a value before.
+FORMS = {("put", True): "value", ("put", False): "value-or-missing", ("rewrite", True): "value", ("rewrite", False): "old-or-new-value", ("delete", True): "missing", ("delete", False): "value-or-missing"}
+
+
+def expectations(ledger: DataFrame, key: str) -> DataFrame:
+    """(key, form, before, after) from each key's last write (key, seq, op put or delete, value, known) and the value of its last known put before that: what the key may end with."""
+    last = ledger.groupBy(key).agg(F.max("seq").alias("last"))
+    marked = ledger.join(last, key)
+    final = marked.filter(F.col("seq") == F.col("last")).select(key, "op", "value", "known")
+    earlier = marked.filter((F.col("seq") < F.col("last")) & F.col("known")).groupBy(key).agg(F.max_by(F.struct("op", "value"), "seq").alias("was"))
+    both = final.join(earlier, key, "left")
+    before = F.when(F.col("was.op") == "put", F.col("was.value"))
+    kind = F.when((F.col("op") == "put") & before.isNotNull(), "rewrite").otherwise(F.col("op"))
+    form = F.coalesce(*[F.when((kind == k) & (F.col("known") == known), F.lit(name)) for (k, known), name in FORMS.items()])
+    return both.select(key, form.alias("form"), before.alias("before"), F.when(F.col("op") == "put", F.col("value")).alias("after"))
+
+
+def unexpected(expected: DataFrame, observed: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, form, observed): keys whose value isn't one that they may end with (see expectations)."""
+    both = expected.join(observed.select(key, F.col(value).alias("observed")), key, "left")
+    is_new, is_old, gone = F.col("observed").eqNullSafe(F.col("after")), F.col("observed").eqNullSafe(F.col("before")), F.col("observed").isNull()
+    fine = F.when(F.col("form") == "value", is_new).when(F.col("form") == "missing", gone).when(F.col("form") == "old-or-new-value", is_new | is_old).otherwise(gone | F.when(F.col("after").isNull(), is_old).otherwise(is_new))
+    return both.filter(~fine).select(key, "form", "observed")

@@ -29,13 +29,6 @@ def source_cleanup(spark, sf_dir):
     return ring.ring_join(keys, after).filter(~held).select("key")
 
 
-def receipt_purge(spark, sf_dir):
-    """Receipts that are kept, what they cost in bytes, and when the first of them goes."""
-    m = data.mutations(spark, sf_dir).filter("op <> 'get'")
-    kept = m.filter(F.col("at_ms") + 6 * 86_400_000 > keyspace.NOW)
-    return kept.groupBy("op").agg(F.count("*").alias("receipts"), F.sum(F.octet_length("key") + 96).alias("bytes"), F.greatest(F.lit(1), F.min(F.col("at_ms") + 6 * 86_400_000) - keyspace.NOW).alias("retry_ms"))
-
-
 def digest_equality(spark, sf_dir):
     """Ranges whose digest differs between a source and its copy."""
     state = keyspace.records(spark, sf_dir).withColumn("range", F.shiftright("token", 56).cast("int"))
@@ -46,13 +39,6 @@ def digest_equality(spark, sf_dir):
     return both.select("range", "records", "copied", (F.col("digest").eqNullSafe(F.col("other"))).alias("equal"))
 
 
-def stats_merge(spark, sf_dir):
-    """Workers' maps of counts, summed by key."""
-    o = data.read(spark, sf_dir, "orders")
-    per = o.groupBy((F.col("o_custkey") % 8).alias("worker")).agg(F.map_from_entries(F.array(*[F.struct(F.lit(s), F.count_if(F.col("o_orderstatus") == s)) for s in "FOP"])).alias("counts"))
-    return per.select(F.explode("counts").alias("status", "n")).groupBy("status").agg(F.sum("n").alias("n"))
-
-
 def stage_match(spark, sf_dir):
     """Stages of two runs (finished orders and others) by their rate; a rate that one lacks keeps its row."""
     o = data.read(spark, sf_dir, "orders")
@@ -69,13 +55,6 @@ def byte_page(spark, sf_dir):
     return first.withColumn("upto", F.sum(size).over(order)).withColumn("nth", F.row_number().over(W.orderBy("token", "key"))).filter("upto <= 2000 or nth = 1").select("key", "token")
 
 
-def replication_lag(spark, sf_dir):
-    """Milliseconds that a follower is behind: 0 if caught up, else since its oldest entry without an answer."""
-    m = data.mutations(spark, sf_dir).filter("op <> 'get'").withColumn("stream", F.col("user_id") % 8)
-    acked = F.col("seq") <= 9_000 + F.col("stream") * 200
-    return m.groupBy("stream").agg(F.when(F.count_if(~acked) == 0, 0).otherwise(F.lit(keyspace.NOW + 10 * 86_400_000) - F.min(F.when(~acked, F.col("at_ms")))).alias("lag_ms"), F.count_if(~acked).alias("waiting"))
-
-
 def moved_cohorts(spark, sf_dir):
     """Keys that change owner, dealt to three cohorts in token order; how many of each."""
     moved = placement._both(spark, sf_dir).filter("owner_before <> owner_after").select("key", "token")
@@ -163,12 +142,9 @@ def oracle_sql():
     return {
         "range_commit": sql(f"SELECT key, token, CASE WHEN token > {HALF} THEN seq + 1000000 ELSE seq END AS v FROM s WHERE token <= {HALF} OR seq % 2 = 0"),
         "source_cleanup": f"SELECT key FROM ({both}) WHERE list_contains(rb, 'NATION_1') AND NOT list_contains(ra, 'NATION_1')",
-        "receipt_purge": sql(f"SELECT op, count(*) AS receipts, sum(strlen(key) + 96)::BIGINT AS bytes, greatest(1, min(at_ms + 518400000) - {keyspace.NOW}) AS retry_ms FROM w WHERE at_ms + 518400000 > {keyspace.NOW} GROUP BY 1"),
         "digest_equality": sql(f"SELECT range, a.records, b.records AS copied, a.d IS NOT DISTINCT FROM b.d AS equal FROM (SELECT range, count(*) AS records, {digest} AS d FROM x GROUP BY 1) a FULL JOIN (SELECT range, count(*) AS records, {digest} AS d FROM x WHERE seq % 13 <> 0 GROUP BY 1) b USING (range)", "x AS (SELECT (token >> 56)::INT AS range, key || '|' || seq AS r, seq FROM s)"),
-        "stats_merge": "SELECT s AS status, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P')) t(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY 1",
         "stage_match": "SELECT rate, a, b FROM (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) FULL JOIN (SELECT floor(o_totalprice / 20000)::BIGINT AS rate, count(*) AS b FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) USING (rate)",
         "byte_page": sql("SELECT key, token FROM (SELECT *, sum(strlen(key) + strlen(value) + 64) OVER (ORDER BY token, key ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY token, key) AS nth FROM s) WHERE upto <= 2000 OR nth = 1"),
-        "replication_lag": sql(f"SELECT user_id % 8 AS stream, CASE WHEN count(*) FILTER (NOT a) = 0 THEN 0 ELSE {keyspace.NOW + 10 * 86_400_000} - min(at_ms) FILTER (NOT a) END AS lag_ms, count(*) FILTER (NOT a) AS waiting FROM (SELECT *, seq <= 9000 + user_id % 8 * 200 AS a FROM w) GROUP BY 1"),
         "moved_cohorts": f"SELECT i % 3 AS cohort, count(*) AS n, min(token) AS first FROM (SELECT token, row_number() OVER (ORDER BY token, key) - 1 AS i FROM ({both}) WHERE ob <> oa) GROUP BY 1",
         "command_fold": log_.replace("WITH ", "WITH RECURSIVE ", 1) + COMMANDS_SQL,
         "multi_key_commands": MULTI_SQL,

@@ -105,6 +105,84 @@ def one_stretch_page(spark, sf_dir):
     return reads.one_stretch(keyspace.records(spark, sf_dir), state.ranges(spark, sf_dir), NODE, FROM, 1_000, 100_000)
 
 
+def count_page(spark, sf_dir):
+    """How many keys the next page has, and where the one after it starts."""
+    return reads.count_page(keyspace.records(spark, sf_dir), 1 << 59, 20, 100_000)
+
+
+def replication_lag(spark, sf_dir):
+    """How far each follower is behind; null where that isn't known."""
+    m = data.mutations(spark, sf_dir).filter("op <> 'get'").withColumn("stream", F.col("user_id") % 8)
+    acked = F.col("seq") <= 9_000 + F.col("stream") * 200
+    rows = m.groupBy("stream").agg(F.max("seq").alias("head"), F.when(F.col("stream") != 5, F.coalesce(F.max(F.when(acked, F.col("seq"))), F.lit(0))).alias("acked"), F.min(F.when(~acked, F.col("at_ms"))).alias("oldest_unacked_ms"))
+    return log.replication_lag(rows, ["stream"], keyspace.NOW + 10 * 86_400_000)
+
+
+def receipt_purge(spark, sf_dir):
+    """Receipts that are kept, what they cost, and when one more of a megabyte fits."""
+    m = data.mutations(spark, sf_dir).filter("op <> 'get'").withColumn("mutation_id", F.concat(F.lit("m"), F.col("seq").cast("string")))
+    kept = log.receipts_kept(m, keyspace.NOW, 6 * 86_400_000)
+    return log.admitted(kept, keyspace.NOW, 6 * 86_400_000, 1_050_000, 1_000_000)
+
+
+def expiry_sweep_migrating(spark, sf_dir):
+    """The next 40 due records, outside the ranges that move to one more member."""
+    from annulus.operators import ring
+
+    moving = ring.topology_delta(state.ranges(spark, sf_dir), state.ranges(spark, sf_dir, state.GROWN))
+    return log.sweep(keyspace.records(spark, sf_dir), keyspace.NOW, 40, moving).select("key", "expires_at_ms")
+
+
+def final_states(spark, sf_dir):
+    """What each key may end with, by form; the outcome of every seventh write is unknown."""
+    from annulus.operators import verify as v
+
+    writes = _history(spark, sf_dir).filter("op <> 'read'").withColumn("known", ~F.col("ambiguous"))
+    return v.expectations(writes, "key")
+
+
+def unexpected_states(spark, sf_dir):
+    """Keys whose last read shows a value that they may not end with."""
+    from annulus.operators import verify as v
+
+    h = _history(spark, sf_dir)
+    seen = h.filter("op = 'read'").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+    return v.unexpected(final_states(spark, sf_dir), seen, "key", "value")
+
+
+def comparable_runs(spark, sf_dir):
+    """Fields on which the settings of runs (here made of segments) differ."""
+    from annulus.operators import stages
+
+    c = data.read(spark, sf_dir, "customer")
+    one = c.groupBy(F.col("c_mktsegment").alias("run")).agg(F.count("*").alias("n"), F.max("c_nationkey").alias("most"))
+    config = F.concat(F.lit('{"n": '), "n", F.lit(', "most": '), "most", F.lit(', "output_dir": "'), "run", F.when(F.col("run") == "BUILDING", '", "extra": null}').otherwise('", "list": [1, {"b": 1, "a": 2}]}'))
+    return stages.comparable(one.select("run", config.alias("config")))
+
+
+def stats_merge(spark, sf_dir):
+    """Workers' counts, summed by key, and the first 12 samples of all."""
+    from annulus.operators import stages
+
+    o = data.read(spark, sf_dir, "orders")
+    counts = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.count_if(F.col("o_orderstatus") == s)) for s in "FOP"]))
+    per = o.groupBy((F.col("o_custkey") % 8).alias("worker")).agg(counts.alias("counts"), F.array(F.min("o_orderkey"), F.max("o_orderkey")).alias("samples"))
+    merged = stages.merged_stats(per, "counts", "samples", 12)
+    return merged.select(F.array_join("samples", ",").alias("samples"), F.explode("counts").alias("status", "n"))
+
+
+def pressure_rollup(spark, sf_dir):
+    """Nodes' pressure by stage, beside processor use and calls."""
+    from annulus.operators import stages
+
+    led = data.ledger(spark, sf_dir)
+    nodes = led.groupBy("stage", "node").agg(F.count("*").alias("writes"), F.max("latency_us").alias("peak"), F.sum(F.col("id") % 1000).alias("wait_ns"), F.sum(F.col("id") % 700).alias("hold_ns"))
+    cpu = led.filter("stage = 'F'").groupBy("stage").agg(F.sum(F.col("line") % 3).alias("cores"))
+    calls = led.groupBy("stage", "op").agg(F.count("*").alias("calls"))
+    found = stages.pressure(nodes, cpu, calls, ["stage"])
+    return found.withColumn("wait_s", F.round("wait_s", 9)).withColumn("hold_s", F.round("hold_s", 9))
+
+
 def type_filter(spark, sf_dir):
     """A step of SCAN with the filter TYPE string, and with another type."""
     rows = keyspace.records(spark, sf_dir).filter("live")
@@ -205,6 +283,14 @@ SELECT key, seq, verdict, kind FROM r WHERE i > 0 AND verdict IS NOT NULL"""
 )
 
 
+#: Each key's last write and the value before it.
+_FINAL = """f AS (
+  SELECT key, CASE WHEN op = 'delete' THEN CASE WHEN known THEN 'missing' ELSE 'value-or-missing' END WHEN known THEN 'value' WHEN before IS NOT NULL THEN 'old-or-new-value' ELSE 'value-or-missing' END AS form, before, after
+  FROM (
+    SELECT l.key, l.op, NOT l.ambiguous AS known, (SELECT nullif(arg_max(e.v, e.seq), '-') FROM h e WHERE e.key = l.key AND e.op <> 'read' AND NOT e.ambiguous AND e.seq < l.seq) AS before, nullif(l.v, '-') AS after
+    FROM h l WHERE l.op <> 'read' QUALIFY row_number() OVER (PARTITION BY l.key ORDER BY l.seq DESC) = 1))"""
+
+
 def oracle_sql():
     from annulus.plans.cluster import _state_sql
 
@@ -228,6 +314,15 @@ def oracle_sql():
         "flatten_json": "WITH k AS (SELECT props::JSON AS p, unnest(json_keys(props::JSON)) AS path FROM events) SELECT path, count(*) AS n, round(sum(TRY_CAST(p ->> path AS DOUBLE)), 4) AS total FROM k WHERE json_type(p -> path) IN ('BIGINT', 'UBIGINT', 'DOUBLE') GROUP BY 1",
         "canonical_json": """WITH c AS (SELECT props::JSON AS p, event_id FROM events), k AS (SELECT event_id, p, unnest(json_keys(p)) AS k FROM c) SELECT canonical, count(*) AS n FROM (SELECT '{"a":null,"props":{' || string_agg('"' || k || '":' || (p -> k)::VARCHAR, ',' ORDER BY k) || '},"z":1}' AS canonical FROM k GROUP BY event_id) GROUP BY 1""",
         "one_stretch_page": f"WITH {base}, {', '.join(_state_sql()[:1])}, nx AS (SELECT min(greatest(CASE WHEN start > \"end\" THEN 0 ELSE start + 1 END, {FROM})) AS nx FROM (SELECT start, \"end\", owner FROM r_ranges WHERE \"end\" >= {FROM} UNION ALL SELECT max(\"end\"), 9223372036854775807, arg_min(owner, \"end\") FROM r_ranges) WHERE owner <> '{NODE}') SELECT key, token FROM s, nx WHERE live AND token >= {FROM} AND (nx IS NULL OR token < nx)",
+        "count_page": sql("SELECT (SELECT count(*) FROM pg) AS keys, (SELECT min(token) FROM s WHERE live AND token > (SELECT max(token) FROM pg)) AS next", "pg AS (SELECT key, token FROM s WHERE live AND token >= 576460752303423488 ORDER BY token, key LIMIT 20)"),
+        "replication_lag": sql(f"SELECT user_id % 8 AS stream, CASE WHEN user_id % 8 = 5 THEN NULL WHEN count(*) FILTER (NOT a) = 0 THEN 0 ELSE {keyspace.NOW + 10 * 86_400_000} - min(at_ms) FILTER (NOT a) END AS lag_ms FROM (SELECT *, seq <= 9000 + user_id % 8 * 200 AS a FROM w) GROUP BY 1"),
+        "receipt_purge": sql(f"SELECT b AS bytes, b + 1000000 <= 1050000 AS fits, CASE WHEN b + 1000000 > 1050000 THEN greatest(1, least + 518400000 - {keyspace.NOW}) END AS retry_ms FROM (SELECT sum(strlen('m' || seq) + strlen(key) + 96)::BIGINT AS b, min(at_ms) AS least FROM w WHERE at_ms + 518400000 > {keyspace.NOW})"),
+        "expiry_sweep_migrating": f"WITH {base}, {', '.join(_state_sql()[:1])}, {placement._ring_sql('g', state.GROWN, state.VNODES)}, {placement._place_sql('r', 's')}, {placement._place_sql('g', 's')} SELECT x.key, x.expires_at_ms FROM r_placed x JOIN g_placed y USING (key) WHERE x.owner = y.owner AND x.expires_at_ms <= {keyspace.NOW} ORDER BY x.expires_at_ms, x.key LIMIT 40",
+        "final_states": f"{m}, {_HISTORY}, {_FINAL} SELECT key, form, before, after FROM f",
+        "unexpected_states": f"{m}, {_HISTORY}, {_FINAL}, o AS (SELECT key, nullif(arg_max(v, seq), '-') AS observed FROM h WHERE op = 'read' GROUP BY 1) SELECT key, form, observed FROM f LEFT JOIN o USING (key) WHERE NOT CASE form WHEN 'value' THEN observed IS NOT DISTINCT FROM after WHEN 'missing' THEN observed IS NULL WHEN 'old-or-new-value' THEN observed IS NOT DISTINCT FROM after OR observed IS NOT DISTINCT FROM before ELSE observed IS NULL OR (CASE WHEN after IS NULL THEN observed IS NOT DISTINCT FROM before ELSE observed = after END) END",
+        "comparable_runs": "WITH o AS (SELECT c_mktsegment AS run, count(*) AS n, max(c_nationkey) AS most FROM customer GROUP BY 1) SELECT 'n' AS field, count(DISTINCT n) AS \"values\", count(DISTINCT n) = 1 AS same FROM o UNION ALL SELECT 'most', count(DISTINCT most), count(DISTINCT most) = 1 FROM o UNION ALL SELECT 'extra', count(DISTINCT run = 'BUILDING'), count(DISTINCT run = 'BUILDING') = 1 FROM o UNION ALL SELECT 'list', count(DISTINCT run = 'BUILDING'), count(DISTINCT run = 'BUILDING') = 1 FROM o",
+        "stats_merge": "WITH p AS (SELECT min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey % 8), x AS (SELECT string_agg(s, ',' ORDER BY s) AS samples FROM (SELECT s FROM (SELECT a AS s FROM p UNION ALL SELECT b FROM p) ORDER BY s LIMIT 12)) SELECT samples, s AS status, count(o_orderkey) AS n FROM x CROSS JOIN (VALUES ('F'), ('O'), ('P')) t(s) LEFT JOIN orders ON o_orderstatus = s GROUP BY ALL",
+        "pressure_rollup": "WITH n AS (SELECT l_linestatus AS stage, l_suppkey AS node, count(*) AS writes, max(round(l_extendedprice * 100)::BIGINT) AS peak, sum(l_orderkey % 1000) AS w, sum(l_orderkey % 700) AS h, sum(l_linenumber % 3) AS c FROM lineitem GROUP BY 1, 2) SELECT stage, count(*) AS nodes, sum(writes)::BIGINT AS writes, max(peak) AS peak, round(sum(w) / 1e9, 9)::DOUBLE AS wait_s, round(sum(h) / 1e9, 9)::DOUBLE AS hold_s, CASE WHEN stage = 'F' THEN sum(c)::BIGINT END AS cores, sum(writes)::BIGINT AS calls FROM n GROUP BY 1",
         "type_filter": sql("SELECT count(*) AS n, 'string' AS type FROM s WHERE live UNION ALL SELECT 0, 'hash'"),
         "receipt_page": sql("SELECT seq, key FROM (SELECT seq, key, row_number() OVER o AS nth, sum(strlen(key) + 96) OVER o AS upto FROM t WHERE token >= 576460752303423488 WINDOW o AS (ORDER BY token, seq ROWS UNBOUNDED PRECEDING)) WHERE upto <= 3000 OR nth = 1", f"t AS (SELECT *, {keyspace._TOK.format('key')} AS token FROM w)"),
         "conditional_writes": m.replace("WITH ", "WITH RECURSIVE ", 1) + CONDITIONAL_SQL,

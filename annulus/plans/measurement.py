@@ -37,12 +37,6 @@ def histogram_delta(spark, sf_dir):
     return metrics.histogram_delta(count(rows.filter("line <= 2")), count(rows.filter("id % 3 = 0")), ["op"])
 
 
-def window_1s(spark, sf_dir):
-    events = data.read(spark, sf_dir, "events")
-    hour = F.date_trunc("hour", "ts")
-    return events.groupBy(hour.alias("at"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
-
-
 def _samples(spark, sf_dir):
     """Hourly samples of each user's cumulative events and errors."""
     events = data.mutations(spark, sf_dir)
@@ -105,20 +99,6 @@ def rtt_fit(spark, sf_dir):
     return fit.select("l_returnflag", "l_linenumber", "points", *[F.round(c, 4).alias(c) for c in ("slope", "intercept")], F.round("r", 6).alias("r"))
 
 
-def pressure_rollup(spark, sf_dir):
-    items = data.ledger(spark, sf_dir)
-    each = items.groupBy("stage", "node").agg(F.sum("latency_us").alias("total"), F.max("latency_us").alias("peak"), F.count("*").alias("n"))
-    return each.groupBy("stage").agg(F.sum("total").alias("total"), F.max("peak").alias("peak"), F.count("*").alias("nodes"), F.round(F.max("n") / F.avg("n"), 6).alias("max_over_mean"))
-
-
-def comparable_runs(spark, sf_dir):
-    """Keys of the customers' configuration on which the segments differ."""
-    c = data.read(spark, sf_dir, "customer")
-    one = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), (F.max("c_nationkey") - F.min("c_nationkey")).alias("spread"))
-    pairs = one.select(F.explode(F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("spread"), F.col("spread").cast("string"))).alias("field", "value"))
-    return pairs.groupBy("field").agg(F.count_distinct("value").alias("values")).withColumn("same", F.col("values") == 1)
-
-
 def repair_groups(spark, sf_dir):
     """Groups in which every task is complete or due, and some pending, those of the fewest attempts first, then the larger."""
     tasks = data.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node"), F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "pending").otherwise("waiting").alias("state"), (F.col("o_orderkey") % 7).alias("attempts"))
@@ -165,7 +145,6 @@ def oracle_sql():
         "log2q_histogram": f"WITH {led} SELECT op, {bucket} AS bucket, count(*) AS n FROM l GROUP BY 1, 2",
         "log2q_percentile": f"WITH {led}, h AS (SELECT op, {bucket} AS bucket, count(*) AS n FROM l GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY op ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY op) AS total FROM h) SELECT op, round(pow(2.0, (min(bucket) + 0.5) / 4), 6) AS p95 FROM c WHERE upto >= total * 0.95 GROUP BY 1",
         "histogram_delta": f"WITH {led}, r AS (SELECT *, {bucket} AS bucket FROM l), a AS (SELECT op, bucket, count(*) AS n FROM r WHERE id % 3 = 0 GROUP BY 1, 2), b AS (SELECT op, bucket, count(*) AS n FROM r WHERE line <= 2 GROUP BY 1, 2) SELECT a.op, a.bucket, a.n - coalesce(b.n, 0) AS n FROM a LEFT JOIN b USING (op, bucket) WHERE a.n - coalesce(b.n, 0) > 0",
-        "window_1s": "SELECT date_trunc('hour', ts) AS at, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",
         "counter_rate": smp + " SELECT user_id, seq, round(CASE WHEN counter >= lag(counter) OVER o AND at_ms > lag(at_ms) OVER o AND epoch = lag(epoch) OVER o THEN (counter - lag(counter) OVER o) * 1000.0::DOUBLE / (at_ms - lag(at_ms) OVER o) END, 6) AS rate FROM x WINDOW o AS (PARTITION BY user_id ORDER BY at_ms)",
         "stop_window": smp + ", y AS (SELECT *, busy - (seq % 3 = 0)::INT AS seen, coalesce(busy > lag(busy) OVER o, false) AS grew, first_value(done) OVER o AS d0 FROM x WINDOW o AS (PARTITION BY user_id ORDER BY at_ms)), z AS (SELECT *, max(at_ms) FILTER (grew) OVER (PARTITION BY user_id) AS last FROM y) SELECT user_id, min(at_ms) FILTER (grew) AS first_busy, max(last) AS last_busy, min(at_ms) FILTER (at_ms >= last AND done > d0 AND seen >= busy) AS first_ok FROM z GROUP BY 1",
         "max_fail_streak": m + ", r AS (SELECT user_id, op = 'get' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY at_ms, seq) - row_number() OVER (PARTITION BY user_id, op = 'get' ORDER BY at_ms, seq) AS run FROM m) SELECT user_id, max(n) AS longest FROM (SELECT user_id, run, count(*) FILTER (failed) AS n FROM r GROUP BY 1, 2) GROUP BY 1",
@@ -176,8 +155,6 @@ def oracle_sql():
         "error_zero_fill": "SELECT reason, count(event_id) AS n FROM (VALUES ('error'), ('timeout'), ('click'), ('busy'), ('unavailable')) t(reason) LEFT JOIN events ON event_type = reason GROUP BY 1",
         "phase_kind_buckets": m + " SELECT CASE WHEN at_ms < 1704844800000 THEN 'pre' WHEN at_ms < 1705708800000 THEN 'copy' ELSE 'post' END AS phase, op AS kind, count(*) AS n, sum(seq % 1000)::BIGINT AS total FROM m GROUP BY 1, 2",
         "rtt_fit": "SELECT l_returnflag, l_linenumber, count(*) AS points, round(coalesce(regr_slope(l_extendedprice, l_quantity), 0), 4) AS slope, round(coalesce(regr_intercept(l_extendedprice, l_quantity), avg(l_extendedprice)), 4) AS intercept, round(coalesce(corr(l_extendedprice, l_quantity), 0), 6) AS r FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2",
-        "pressure_rollup": f"WITH {led}, e AS (SELECT stage, node, sum(us) AS total, max(us) AS peak, count(*) AS n FROM l GROUP BY 1, 2) SELECT stage, sum(total)::BIGINT AS total, max(peak) AS peak, count(*) AS nodes, round(max(n) / avg(n), 6) AS max_over_mean FROM e GROUP BY 1",
-        "comparable_runs": "WITH o AS (SELECT count(*) AS n, max(c_nationkey) - min(c_nationkey) AS spread FROM customer GROUP BY c_mktsegment) SELECT 'n' AS field, count(DISTINCT n) AS \"values\", count(DISTINCT n) = 1 AS same FROM o UNION ALL SELECT 'spread', count(DISTINCT spread), count(DISTINCT spread) = 1 FROM o",
         "repair_groups": "SELECT o_custkey AS node, max(o_orderkey % 7) AS attempts, count(*) AS size, least(pow(2, least(max(o_orderkey % 7), 6)), 60)::BIGINT AS backoff FROM orders GROUP BY 1 HAVING bool_and(o_orderstatus = 'F' OR (o_orderstatus = 'O' AND o_orderkey % 7 < 6)) AND bool_or(o_orderstatus = 'O')",
         "natural_order": "SELECT 'rate_' || c_custkey AS stage, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer",
         "load_balance": f"WITH {led} SELECT node, CASE WHEN b = 0 OR a = 0 THEN 'missing' WHEN a < b THEN 'fell' ELSE 'ok' END AS state, CASE WHEN b > 0 AND a > 0 THEN a - b END AS handled FROM (SELECT node, count(*) FILTER (line <= 2) AS b, count(*) FILTER (line <= 4) AS a FROM l GROUP BY 1) WHERE a > 0 OR b > 0",
