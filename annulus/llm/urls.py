@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.resources
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,27 +18,14 @@ MOST_LABELLED = 5_000
 
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
-#: Words of the small labelled table: stems that hosts and paths of junk are made of, and plain ones.
-JUNK = "casino bet bets poker slots jackpot pills pharma viagra cialis cheap replica spam farm ads track tracker click popup adult xxx porn sex escort dating win prize lottery payday loan crypto-profit warez torrent crack free-money malware phish".split()
-PLAIN = "news library garden school weather museum travel river history science music recipes city health sports market house water letters radio paper forest journal valley kitchen archive theatre bridge island village language mountain family summer winter street children college research report council station gallery hospital railway ocean planet number stories people nature".split()
-ENDINGS = ("com", "net", "org")
-LANGUAGES = ("en", "de", "fr", "es", "it")
+#: The small labelled table: URLs of common kinds of junk (gambling, pharmacies, replicas, adult, fraud, advertising, link farms) and of public sites, written by hand; 1 for junk.
+LABELS = "url_labels.tsv"
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, junk): a small labelled table made from JUNK, PLAIN and invented words of common syllables, the same number of each label."""
-    syllables = "ti on th er in an re he ou ble ha st nd ea or wh ly es at sh ch en ge ung ver lo ra do mi que la".split()
-    pick = np.random.default_rng(5)
-    one = lambda xs: xs[pick.integers(len(xs))]
-    rows = []
-    for i in range(600):
-        invented = "".join(one(syllables) for _ in range(pick.integers(2, 5)))
-        plain = one([one(PLAIN), invented, invented, f"{one(PLAIN)}-{one(PLAIN)}", f"{invented}-{one(PLAIN)}"])
-        bad = one([f"{one(JUNK)}-{one(JUNK)}", f"{one(JUNK)}{one(JUNK)}", f"{one(JUNK)}-{one(PLAIN)}", f"{one(JUNK)}-{pick.integers(99)}", f"{one(JUNK)}-x"])
-        for name, junk in ((plain, 0), (bad, 1)):
-            host = f"{one(['', '', 'www.', 'm.', 'blog.'])}{name}.{one(['', 'example.', 'example.'])}{one(ENDINGS)}"
-            rows.append((f"{one(['http', 'https'])}://{host}/{one(LANGUAGES)}/{pick.integers(50_000)}{one(['', '/', '.html', '?page=2', '#top'])}", junk))
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in rows) + " AS t(url, junk)")
+    """(url, junk): the labelled table that comes with this module."""
+    lines = importlib.resources.files(__package__).joinpath(LABELS).read_text("utf-8").splitlines()
+    return spark.createDataFrame([(url, int(junk)) for url, junk in (line.split("\t") for line in lines)], "url string, junk int")
 
 
 def host_of(url: Column) -> Column:
