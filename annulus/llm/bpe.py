@@ -20,8 +20,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TEXT_AT_ONCE, WORDS_KEPT = 1 << 20, 1 << 19
 DUCKDB_MEMORY = "300MB"
 
-#: Words above so many bytes are contracted by ENCODE_LONG.
-LONG = 160
+#: Ids of known words that are kept between batches, at most.
+IDS_KEPT = 1 << 23
+#: Words above so many bytes are contracted in windows of so many, of which a new one starts every STEP bytes; windows that must be longer by ENCODE_LONG.
+LONG, STEP = 160, 80
+#: Tokens that are tried to join two windows before a wider one is made.
+JOINS = 12
 
 #: A row for each pair of neighbouring tokens of each word, with its place, joins the merge table. A step finds each word's best pair, the leftmost of least rank, and contracts it. Words without a pair in the merge table are done.
 ENCODE = """
@@ -39,7 +43,7 @@ WITH RECURSIVE step(word, done, toks) AS (
 SELECT word, toks FROM step WHERE done
 """
 
-#: The same for long words, all in rows. A step contracts the pairs of least rank from the left, in runs of one token every other, up to the first that makes a pair of lesser rank with a neighbour (prone: with its own kind or the pair's left token), which the next step then takes.
+#: The same for long windows, all in rows. A step contracts the pairs of least rank from the left, in runs of one token every other, up to the first that makes a pair of lesser rank with a neighbour (prone: with its own kind or the pair's left token), which the next step then takes.
 ENCODE_LONG = """
 WITH RECURSIVE step(word, place, tok, more) AS (
   SELECT word, place, tok, true FROM fresh_rows
@@ -85,6 +89,8 @@ class Coder:
         ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.pattern, self.single = regex.compile(pattern), np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self._forget()
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         made = {(a, b): r for a, b, r in merges}
         prone = [min(made.get((r, a), r), made.get((r, r), r)) < r for a, _, r in merges]
@@ -112,9 +118,9 @@ class Coder:
             for name in tables:
                 self.db.unregister(name)
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encodes words that aren't known yet."""
-        plain = [w.encode("utf-8", "replace") for w in fresh]
+    def _learn(self, fresh: list[str | bytes]) -> None:
+        """Encodes words (and windows of words, as bytes) that aren't known yet."""
+        plain = [w if isinstance(w, bytes) else w.encode("utf-8", "replace") for w in fresh]
         size = np.array([len(b) for b in plain])
         toks = self.single[np.frombuffer(b"".join(plain), np.uint8)]
         word = np.repeat(np.arange(len(fresh), dtype=np.int32), size)
@@ -127,21 +133,95 @@ class Coder:
         for rows in found:
             its = rows.column("toks").combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int32()))
             sizes = pa.compute.list_value_length(its).to_numpy(zero_copy_only=False).astype(np.int32)
-            self.known.update(zip((fresh[i] for i in rows.column("word").to_pylist()), range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
-            self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.ids = np.concatenate([self.ids, its.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+            self._keep([fresh[i] for i in rows.column("word").to_pylist()], its.flatten().to_numpy(zero_copy_only=False).astype(np.int32), sizes)
+
+    def _keep(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(sizes)), strict=True))
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _window(self, piece: bytes) -> np.ndarray:
+        """The ids of a window."""
+        if piece not in self.known:
+            self._learn([piece])
+        code = self.known[piece]
+        return self.ids[self.starts[code] : self.starts[code] + self.sizes[code]]
+
+    def _joined(self, whole: bytes, at: int, head: int, end: int, width: int) -> tuple[np.ndarray | None, int]:
+        """The ids of a stretch that starts at a place, with token head, and goes past end; and where it ends. None where the windows there begin otherwise."""
+        first = at // STEP * STEP
+        if width == LONG and (regular := whole[first : first + LONG]) in self.known and first + len(regular) > end:
+            ids = self._window(regular)
+            ends = first + np.cumsum(self.bytes_of[ids])
+            k = int(np.searchsorted(ends, at, "right"))
+            if k < len(ids) and ids[k] == head and ends[k] == at + self.bytes_of[head]:
+                return ids[k:], first + len(regular)
+        piece = whole[at : at + width]
+        ids = self._window(piece) if at + len(piece) > end else None
+        return (ids, at + len(piece)) if ids is not None and ids[0] == head else (None, end)
+
+    def _long_word(self, whole: bytes) -> np.ndarray:
+        """The ids of a word of any length, from windows, in memory that a window bounds.
+
+        If the tokens of X M end with token M, and those of M Y begin with it, the tokens of X M Y are those of X, M and Y: the first pair contracted across a border of M would be the leftmost of least rank of X M or of M Y too. So windows are joined where both have one token at one place. The windows that start every STEP bytes are contracted together; where the next of them lacks the token, one that starts with it is made; where that begins otherwise, other tokens are tried, then wider windows.
+        """
+        out, ids, at, end, ready = [], self._window(whole[:LONG]), 0, min(LONG, len(whole)), 0
+        while end < len(whole):
+            if end > ready:
+                if len(self.ids) > IDS_KEPT:
+                    self._forget()
+                ready = end + LONG * 4096
+                if fresh := list({whole[i : i + LONG] for i in range(end // STEP * STEP - LONG, ready, STEP)} - {b""} - self.known.keys()):
+                    self._learn(fresh)
+            width, more = LONG, None
+            while more is None:
+                begins = at + np.cumsum(self.bytes_of[ids]) - self.bytes_of[ids]
+                for j in np.flatnonzero(begins <= max(end - LONG // 4, at))[: -JOINS - 1 : -1]:
+                    more, far = self._joined(whole, int(begins[j]), int(ids[j]), end, width)
+                    if more is not None:
+                        break
+                else:
+                    width *= 2
+                    if out:
+                        at -= int(self.bytes_of[out[-1]].sum())
+                        ids = np.concatenate([out.pop(), ids])
+                    else:
+                        while width <= end:
+                            width *= 2
+                        j, more, far = 0, self._window(whole[:width]), min(width, len(whole))
+            out.append(ids[:j])
+            ids, at, end = more, int(begins[j]), far
+        return np.concatenate([*out, ids])
 
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
-        if len(self.known) > WORDS_KEPT:
+        if len(self.known) > WORDS_KEPT or len(self.ids) > IDS_KEPT:
             self._forget()
-        if fresh := list(set(words) - self.known.keys()):
-            self._learn(fresh)
-        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[code]
-        before = np.cumsum(sizes) - sizes
-        return self.ids[np.repeat(self.starts[code] - before, sizes) + np.arange(sizes.sum())], sizes
+        fresh = list(set(words) - self.known.keys())
+        # Characters are bytes at least.
+        if short := [w for w in fresh if len(w) <= LONG // 4 or len(w.encode("utf-8", "replace")) <= LONG]:
+            self._learn(short)
+        of_long = {w: self._long_word(w.encode("utf-8", "replace")) for w in set(fresh).difference(short)}
+        if not of_long:
+            code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            sizes = self.sizes[code]
+            before = np.cumsum(sizes) - sizes
+            return self.ids[np.repeat(self.starts[code] - before, sizes) + np.arange(sizes.sum())], sizes
+        # Some word is long: these stand between the others, and aren't kept.
+        ids, sizes, some = [], np.zeros(len(words), np.int64), []
+        for i, w in enumerate([*words, None]):
+            if w is None or w in of_long:
+                if some:
+                    got, sizes[i - len(some) : i] = self.ids_of(some)
+                    ids.append(got)
+                    some = []
+                if w is not None:
+                    ids.append(of_long[w])
+                    sizes[i] = len(of_long[w])
+            else:
+                some.append(w)
+        return np.concatenate(ids), sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has. A text is taken in pieces of whole words where it is very long."""
