@@ -9,19 +9,21 @@ from pyspark.sql import functions as F
 
 #: Steps of Euclid's algorithm that 64-bit numbers need at most, and candidates among which a stride is found.
 EUCLID, CANDIDATES = 94, 128
+#: Steps that a number below LEAST_STRIDE + CANDIDATES needs with any other.
+SHORT = 16
 LEAST_STRIDE = 37
 
 
-def gcd(a: Column, b: Column) -> Column:
+def gcd(a: Column, b: Column, steps: int = EUCLID) -> Column:
     """The greatest common divisor, by Euclid's algorithm."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.when(s["b"] != 0, s["a"] % s["b"]).otherwise(0).cast("long").alias("b")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(EUCLID)), start, step)["a"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["a"]
 
 
 def coprime_stride(total: Column) -> Column:
     """The least step from LEAST_STRIDE on that shares no factor with a total, so that a walk by it reaches every slot; 1 for totals up to 1."""
-    found = F.filter(F.sequence(F.lit(LEAST_STRIDE), F.lit(LEAST_STRIDE + CANDIDATES)), lambda s: gcd(s, total) == 1)
+    found = F.filter(F.sequence(F.lit(LEAST_STRIDE), F.lit(LEAST_STRIDE + CANDIDATES)), lambda s: gcd(total, s, SHORT) == 1)
     return F.when(total <= 1, F.lit(1).cast("long")).otherwise(F.get(found, F.lit(0)).cast("long"))
 
 
