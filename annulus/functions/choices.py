@@ -154,15 +154,15 @@ def canonical(json: Column) -> Column:
 
 
 def leaves(rows: DataFrame, key: str, json: str, depth: int = 8) -> DataFrame:
-    """(key, path, number): the numbers in a JSON column, by their path (keys and places, joined by points); objects and arrays are opened level by level, to a depth."""
+    """(key, path, number): the numbers in a JSON column, by their path (keys and places, joined by points). Objects and arrays are opened level by level, to a depth, in one pass; what is no container goes through as it is."""
     level = rows.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("v"))
-    out = None
-    for _ in range(depth + 1):
+    for _ in range(depth):
+        named = lambda step: F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", F.col("path"), step))
+        inside = lambda k, v: F.struct(named(k).alias("path"), v.alias("v"))
+        objects = F.transform(F.map_entries(F.variant_get("v", "$", "map<string,variant>")), lambda e: inside(e["key"], e["value"]))
+        arrays = F.transform(F.variant_get("v", "$", "array<variant>"), lambda v, i: inside(i.cast("string"), v))
         kind = F.schema_of_variant("v")
-        number = level.filter(kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")).select(key, F.col("path"), F.variant_get("v", "$", "double").alias("number"))
-        out = number if out is None else out.unionByName(number)
-        named = lambda step: F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step))
-        objects = level.filter(kind.startswith("OBJECT")).select(key, "path", F.explode(F.variant_get("v", "$", "map<string,variant>")).alias("k", "v"))
-        arrays = level.filter(kind.startswith("ARRAY")).select(key, "path", F.posexplode(F.variant_get("v", "$", "array<variant>")).alias("k", "v"))
-        level = objects.select(key, named(F.col("k")).alias("path"), "v").unionByName(arrays.select(key, named(F.col("k").cast("string")).alias("path"), "v"))
-    return out
+        opened = F.when(kind.startswith("OBJECT"), objects).when(kind.startswith("ARRAY"), arrays).otherwise(F.array(F.struct("path", "v")))
+        level = level.select(key, F.explode(opened).alias("x")).select(key, "x.path", "x.v")
+    is_number = F.schema_of_variant("v").rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$")
+    return level.filter(is_number).select(key, "path", F.variant_get("v", "$", "double").alias("number"))
