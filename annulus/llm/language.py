@@ -17,8 +17,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SPECTRUM, SLOTS = (1, 2, 3), 1 << 16
 #: For each language: most distinct texts to learn from, and landmarks among them. Those of the smallest hash are taken.
 MOST_LEARNT, LANDMARKS = 150, 24
-#: Most languages; beyond, the ones with the fewest documents aren't learnt.
-MOST_LANGUAGES = 200
+#: Texts and landmarks of all languages, about: with many languages, each has fewer, but one at least.
+ALL_LEARNT, ALL_LANDMARKS = 12_000, 960
+#: Texts whose presences are multiplied at once.
+TEXTS_AT_ONCE = 64
 RIDGE, SHARPNESS = 1e-2, 6.0
 #: Characters that are hashed at once.
 AT_ONCE = 1 << 20
@@ -56,45 +58,52 @@ class Model:
 
     def __init__(self, langs: list[str], texts: list[np.ndarray], landmarks: list[int]):
         self.langs = sorted(set(langs))
-        known = np.zeros((len(texts), SLOTS), np.float32)
-        for i, slots in enumerate(texts):
-            known[i, slots] = 1 / np.sqrt(max(len(slots), 1))
-        marks = known[landmarks]
+        marks = presences([texts[i] for i in landmarks])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * max(values.max(initial=0), 1e-12)
         to_space = vectors[:, keep] / np.sqrt(values[keep])
-        space = (known @ marks.T) @ to_space
+        space = products(marks.T, texts) @ to_space
         space = np.hstack([space, np.ones((len(space), 1))])
-        is_lang = np.array([[1.0 if lang == x else -1.0 for x in self.langs] for lang in langs])
-        weight = np.sqrt(1 / np.array([langs.count(lang) for lang in langs]))[:, None]
+        place = {x: i for i, x in enumerate(self.langs)}
+        at = np.array([place[lang] for lang in langs])
+        is_lang = np.full((len(langs), len(place)), -1.0)
+        is_lang[np.arange(len(langs)), at] = 1.0
+        weight = np.sqrt(1 / np.bincount(at)[at])[:, None]
         left = space * weight
         ridge = np.eye(left.shape[1]) * RIDGE
         ridge[-1, -1] = 1e-9
         solved = np.linalg.solve(left.T @ left + ridge, left.T @ (is_lang * weight))
-        self.table, self.bias = (marks.T @ (to_space @ solved[:-1])).astype(np.float32), solved[-1]
+        self.table, self.bias = np.ascontiguousarray(marks.T @ (to_space @ solved[:-1]), np.float32), solved[-1]
 
     def scores(self, slots: list[np.ndarray]) -> np.ndarray:
         """Regression values, texts by languages."""
-        return regress(self.table, self.bias, slots)
+        return products(self.table, slots) + self.bias
 
 
-def regress(table: np.ndarray, bias: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
-    sums = np.zeros((len(slots), len(bias)))
-    for i, s in enumerate(slots):
-        if len(s):
-            sums[i] = np.ones(len(s), np.float32) @ table[s] / np.sqrt(len(s))
-    return sums + bias
+def presences(slots: list[np.ndarray]) -> np.ndarray:
+    """A row for each text: over the root of their number, ones in its slots."""
+    out = np.zeros((len(slots), SLOTS), np.float32)
+    for row, s in zip(out, slots, strict=True):
+        row[s] = 1 / np.sqrt(max(len(s), 1))
+    return out
+
+
+def products(table: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+    """The presences of texts times a table of SLOTS rows, TEXTS_AT_ONCE texts at a time."""
+    found = [presences(slots[i : i + TEXTS_AT_ONCE]) @ table for i in range(0, len(slots), TEXTS_AT_ONCE)]
+    return np.concatenate([np.zeros((0, table.shape[1])), *found])
 
 
 def learn(known: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """A model from at most MOST_LEARNT distinct texts of each language, of which only the presences come to the driver; None without any."""
+    """A model of every language that has a label, from at most MOST_LEARNT distinct texts of each (fewer where there are more than ALL_LEARNT in all), of which only the presences come to the driver; None without any label."""
     spark = known.sparkSession
-    some = known.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("place"))
-    langs = [r["lang"] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    if not langs:
+    some = known.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(text_col)).alias("place")).distinct()
+    n_langs = some.select("lang").distinct().count()
+    if not n_langs:
         return None
+    quota = max(1, min(MOST_LEARNT, ALL_LEARNT // n_langs))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place"))
-    chosen = [(r["lang"], r["place"]) for r in some.filter(F.col("lang").isin(langs)).distinct().withColumn("rank", rank).filter(F.col("rank") <= MOST_LEARNT).select("lang", "place").collect()]
+    chosen = [(r["lang"], r["place"]) for r in some.withColumn("rank", rank).filter(F.col("rank") <= quota).select("lang", "place").collect()]
     ids = spark.createDataFrame(chosen, "its string, at long")
 
     def run(batches):
@@ -108,7 +117,7 @@ def learn(known: DataFrame, text_col: str = "text", lang_col: str = "lang") -> M
     marks, seen = [], {}
     for i, (lang, _) in enumerate(order):
         seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= LANDMARKS:
+        if seen[lang] <= max(1, min(LANDMARKS, ALL_LANDMARKS // n_langs)):
             marks.append(i)
     return Model([lang for lang, _ in order], [np.array(rows[k], np.int32) for k in order], marks)
 
@@ -127,7 +136,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             langs, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
             which = [i for i, t in enumerate(texts) if langs_of and t and has_letter(t)]
             if which:
-                values = np.exp(SHARPNESS * regress(table, bias, [presence(texts[i]) for i in which]))
+                values = np.exp(SHARPNESS * (products(table, [presence(texts[i]) for i in which]) + bias))
                 best = values.argmax(axis=1)
                 for i, b in zip(which, best, strict=True):
                     langs[i] = langs_of[b]
