@@ -17,15 +17,15 @@ def _signed(byte: int) -> int:
 def glob_to_regex(pattern: bytes | str) -> str:
     """An anchored regular expression, over text decoded as ISO-8859-1, for a glob: * any run, ? one byte, [..] a class (only ^ negates; ends of a range are compared as signed bytes, in either order; a class that isn't closed ends with the pattern), \\ the next byte as it is."""
     data = pattern.encode() if isinstance(pattern, str) else bytes(pattern)
-    out, i, n = [], 0, len(data)
+    runs, i, n = [[]], 0, len(data)
     while i < n:
         c = data[i : i + 1]
         if c == b"*":
             while data[i + 1 : i + 2] == b"*":
                 i += 1
-            out.append(".*")
+            runs.append([])
         elif c == b"?":
-            out.append(".")
+            runs[-1].append(".")
         elif c == b"[":
             i += 1
             negated = data[i : i + 1] == b"^"
@@ -43,13 +43,16 @@ def glob_to_regex(pattern: bytes | str) -> str:
                     members.add(data[i])
                 i += 1
             inside = "".join(map(_escape, sorted(members)))
-            out.append(f"[{'^' if negated else ''}{inside}]" if inside else "." if negated else "(?!)")
+            runs[-1].append(f"[{'^' if negated else ''}{inside}]" if inside else "." if negated else "(?!)")
         else:
             if c == b"\\" and i + 1 < n:
                 i += 1
-            out.append(_escape(data[i]))
+            runs[-1].append(_escape(data[i]))
         i += 1
-    return r"(?s)\A" + "".join(out) + r"\z"
+    first, *rest = map("".join, runs)
+    # What stands between two stars is taken where it first fits, and never tried elsewhere: each run has a length of its own, so no other place could do better, and a key is passed once for each run.
+    between = "".join(f"(?>.*?{run})" for run in rest[:-1] if run)
+    return rf"(?s)\A{first}{between}{'.*' + rest[-1] if rest else ''}\z"
 
 
 def matches(key: Column, pattern: bytes | str) -> Column:

@@ -38,6 +38,29 @@ def test_deadlines(spark):
     assert one(log.next_deadline(F.lit(None).cast("long"), F.lit(5), F.lit(True))) == 5 and one(log.next_deadline(F.lit(0), F.lit(5), F.lit(True))) is None
 
 
+def test_globs_with_many_stars(spark):
+    import random
+    import re
+
+    def plain(text, pattern):
+        """The textbook recursion."""
+        if not pattern:
+            return not text
+        if pattern[0] == "*":
+            return plain(text, pattern[1:]) or bool(text) and plain(text[1:], pattern)
+        return bool(text) and (pattern[0] in ("?", text[0])) and plain(text[1:], pattern[1:])
+
+    pick = random.Random(3)
+    for _ in range(40):
+        pattern = "".join(pick.choices("ab?*", k=pick.randrange(0, 8)))
+        texts = ["".join(pick.choices("ab", k=pick.randrange(0, 9))) for _ in range(200)]
+        # Python reads these expressions like Java does, but for the name of the end.
+        regex = re.compile(glob.glob_to_regex(pattern).replace(r"\z", r"\Z"))
+        assert [bool(regex.search(t)) for t in texts] == [plain(t, pattern) for t in texts]
+    long = spark.range(1).select(F.repeat(F.lit("a"), 200_000).alias("k"))
+    assert long.select(glob.matches(F.col("k"), "*a" * 12 + "*b").alias("m")).first()["m"] is False
+
+
 def test_globs(spark):
     patterns = ["*", "a*c", "a?c", "[a-c]x", "[^a-c]x", "a\\*", "[c-a]x", "*b*", "[ab", "x**y", "[]", "a[^]c", ""]
     texts = ["", "abc", "ac", "bx", "dx", "a*", "a", "xzzy", "b", "a\nc", "x"]
