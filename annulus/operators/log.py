@@ -59,10 +59,20 @@ def admitted(receipts: DataFrame, now: int, retention_ms: int, capacity: int, as
     return receipts.agg(used.alias("bytes"), (used + asked <= capacity).alias("fits"), F.when(used + asked > capacity, wait).alias("retry_ms"))
 
 
+#: Sequence numbers of a stream that are put in order together.
+BLOCK = 1 << 16
+
+
 def gaps(entries: DataFrame, by: str, seq: str) -> DataFrame:
-    """(by, seq, before): entries whose predecessor isn't the sequence number before; a repeat is no gap."""
-    order = W.partitionBy(by).orderBy(seq)
-    return entries.select(by, seq).distinct().withColumn("before", F.lag(seq).over(order)).filter(F.col("before").isNotNull() & (F.col(seq) != F.col("before") + 1))
+    """(by, seq, before): entries whose predecessor isn't the sequence number before; a repeat is no gap. Numbers are put in order in blocks, and a block's first is compared with the last of the block before, so that a long stream isn't one task's."""
+    block = F.floor(F.col(seq) / BLOCK)
+    each = entries.select(by, seq, block.alias("_block")).distinct()
+    order = W.partitionBy(by).orderBy("_block")
+    ends = each.groupBy(by, "_block").agg(F.max(seq).alias("_last")).withColumn("_before", F.lag("_last").over(order)).drop("_last")
+    inside = each.withColumn("_lag", F.lag(seq).over(W.partitionBy(by, "_block").orderBy(seq)))
+    first = F.col("_lag").isNull()
+    placed = inside.join(ends, [by, "_block"]).withColumn("before", F.when(first, F.col("_before")).otherwise(F.col("_lag")))
+    return placed.filter(F.col("before").isNotNull() & (F.col(seq) != F.col("before") + 1)).select(by, seq, "before")
 
 
 def retries(requests: DataFrame, request: str, fingerprint: str, order: list[str]) -> DataFrame:

@@ -26,15 +26,14 @@ def replica_walk(ring: DataFrame, replicas: int, members: int) -> DataFrame:
     order = W.orderBy("token", "node_id")
     placed = ring.withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy()))
     twice = placed.withColumn("lap", F.lit(0)).unionByName(placed.withColumn("lap", F.lit(1)))
-    ahead = W.orderBy("lap", "pos").rowsBetween(W.currentRow, min(MOST_TOKENS, 64 * max(1, replicas)))
-    full = W.orderBy("lap", "pos").rowsBetween(W.currentRow, W.unboundedFollowing)
-    want = min(replicas, members)
-    near = F.slice(F.array_distinct(F.collect_list("node_id").over(ahead)), 1, replicas)
-    walked = twice.withColumn("near", near)
-    # Nearly always a few dozen positions hold enough nodes; the whole ring is looked at only for a ring where they don't.
-    short = walked.filter((F.col("lap") == 0) & (F.size("near") < want))
-    if not short.isEmpty():
-        walked = twice.withColumn("near", F.slice(F.array_distinct(F.collect_list("node_id").over(full)), 1, replicas))
+    want, size = min(replicas, members), 64 * max(1, replicas)
+    while True:
+        ahead = W.orderBy("lap", "pos").rowsBetween(W.currentRow, min(MOST_TOKENS, size))
+        walked = twice.withColumn("near", F.slice(F.array_distinct(F.collect_list("node_id").over(ahead)), 1, replicas))
+        # Nearly always a few dozen positions hold enough nodes; only where they don't, more are looked at.
+        if size >= MOST_TOKENS or walked.filter((F.col("lap") == 0) & (F.size("near") < want) & (F.col("n") > size)).isEmpty():
+            break
+        size *= 8
     return walked.filter("lap = 0").select("token", "node_id", "pos", F.col("near").alias("replicas"))
 
 

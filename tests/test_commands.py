@@ -223,3 +223,17 @@ def test_components_of_ties(spark):
         for u, v in pairs:
             label[u] = label[v] = min(label[u], label[v])
     assert {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "u string, v string")).collect()} == label
+
+
+def test_gaps_across_blocks(spark, monkeypatch):
+    import random
+
+    from annulus.operators import log
+
+    pick = random.Random(2)
+    rows = [(s, n) for s in (1, 2) for n in range(400) if pick.random() < 0.9] + [(3, 5), (1, 7), (1, 7)]
+    want = sorted((s, n, max(m for t, m in rows if t == s and m < n)) for s, n in set(rows) if any(t == s and m < n for t, m in rows) and (s, n - 1) not in rows)
+    frame = spark.createDataFrame(rows, "s long, n long")
+    for block in (1 << 16, 16, 1):
+        monkeypatch.setattr(log, "BLOCK", block)
+        assert sorted(map(tuple, log.gaps(frame, "s", "n").collect())) == want

@@ -118,3 +118,10 @@ def test_large_rings_are_not_broadcast(spark, monkeypatch):
     want = joined()
     monkeypatch.setattr(ring, "BROADCAST_PARTS", 10)
     assert joined() == want and len(want) == 500
+
+
+def test_far_replicas_are_found(spark):
+    """One member's run of positions is longer than what is first looked at."""
+    points = [(i, "a") for i in range(1, 301)] + [(400, "b"), (500, "c")]
+    got = {r["end"]: (r["owner"], r["followers"]) for r in ring.derived_ranges(frame(spark, points), 3, 3).collect()}
+    assert got[1] == ("a", ["b", "c"]) and got[300] == ("a", ["b", "c"]) and got[400] == ("b", ["c", "a"]) and got[500] == ("c", ["a", "b"])
