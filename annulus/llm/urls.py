@@ -25,7 +25,8 @@ LABELS = "url_labels.tsv"
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """(url, junk): the labelled table that comes with this module."""
     lines = importlib.resources.files(__package__).joinpath(LABELS).read_text("utf-8").splitlines()
-    return spark.createDataFrame([(url, int(junk)) for url, junk in (line.split("\t") for line in lines)], "url string, junk int")
+    values = ", ".join(f"('{url}', {int(junk)})" for url, junk in (line.split("\t") for line in lines))  # no quotes in these
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, junk)")
 
 
 def host_of(url: Column) -> Column:

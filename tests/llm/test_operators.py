@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from brute import base_counts, simhash, water
+
 from annulus.llm import bpe, language, mixing, neardup, neighbours, pii, quality, secrets, sharding, urls
 
 SCHEMA = "doc_id long, text string, lang string, source string, row string, size long, id long, h long, bucket int, kept string, spans string"
@@ -50,12 +52,12 @@ def test_secrets(spark, odd):
 
 def test_near_is_an_interval_join():
     pick = random.Random(1)
-    for _ in range(200):
-        spans = sorted((a, a + pick.randrange(1, 9)) for a in (pick.randrange(400) for _ in range(6)))
-        spans = [s for i, s in enumerate(spans) if not i or s[0] >= spans[i - 1][1]]
+    for _ in range(400):
+        spans = [(a, a + pick.choice((1, 8, 60, 200))) for a in (pick.randrange(400) for _ in range(6))]
         at = (a := pick.randrange(400), a + 5)
+        ends = secrets.reaching(spans)
         want = any(s[0] <= at[1] + 20 and s[1] >= at[0] - 20 for s in spans)
-        assert secrets.near([s[0] for s in spans], spans, at, 20) == want
+        assert secrets.near([s[0] for s in ends], ends, at, 20) == want
 
 
 def test_nested_spans_link():
@@ -71,19 +73,6 @@ def test_nested_spans_link():
         assert secrets.near([s[0] for s in ends], ends, at, 20) == any(s[0] <= at[1] + 20 and s[1] >= at[0] - 20 for s in spans)
 
 
-def water(sizes, weights, epochs=3):
-    """Targets by rounds of clamping."""
-    clamped = {}
-    while True:
-        rest = sum(sizes.values()) - sum(clamped.values())
-        weight = sum(weights[s] for s in sizes if s not in clamped)
-        share = {s: weights[s] * rest / weight for s in sizes if s not in clamped} if weight else {}
-        over = [s for s, t in share.items() if t > epochs * sizes[s]]
-        if not over:
-            return share | clamped
-        clamped |= {s: epochs * sizes[s] for s in over}
-
-
 def test_mixing(spark, odd):
     rows = mixing.mix(documents(spark, odd)).select("row.doc_id", "row.source", "size", "source_size", "target", "taken").collect()
     assert len(rows) == len(odd)
@@ -238,15 +227,6 @@ def test_url_score_is_the_regression(spark):
         assert math.isclose(r["s"], sum(weights[i] for i in at) / math.sqrt(len(at)) + bias, rel_tol=1e-9, abs_tol=1e-9)
 
 
-def base_counts(text):
-    text = text or ""
-    w = WORD.findall(text)
-    grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
-    covered = {j for i in range(len(w) - 7) if grams[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
-
-
 def test_quality(spark, odd):
     more = [(200, "a b c d e f g h " * 5, "a"), (201, "l one\nl one\n\n \nl two # <x>\nl one", "a"), (202, "the cat sat on the mat and more words follow here to make it long enough to be kept at all okay", "a"), (203, "a b c d e f g h i " + "j k l m n o p q r s t u v w " + "a b c d e f g h", "b")]
     rows = odd + more
@@ -380,15 +360,6 @@ def test_bpe_in_pieces(monkeypatch):
     assert coder.decode(*parts) == [text.encode(), b"", text.encode()]
 
 
-def simhash(text):
-    import xxhash
-
-    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in WORD.findall(text or "")]
-    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def test_neardup(spark, odd, monkeypatch):
     base = " ".join(f"t{i}" for i in range(400))
     rows = odd + [(300 + i, base.replace(f"t{7 * i} ", "zz ", 1), "a") for i in range(40)] + [(290, base.upper(), "b")]
