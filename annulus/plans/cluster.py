@@ -30,18 +30,20 @@ def follower_status(spark, sf_dir):
     return state.followers(spark, sf_dir)
 
 
-def _status(spark, sf_dir, policy, **more):
-    rows = (f(spark, sf_dir) for f in (state.ranges, state.followers, state.live, state.instances, state.fenced))
-    return cluster.replica_status(*rows, policy, RF, GUARD, **more)
+def _status(spark, sf_dir, *policies, **more):
+    """The status of every range under each policy, from one reading of the state."""
+    own = state.ranges(spark, sf_dir)
+    rows = (own, state.followers(spark, sf_dir, own), *(f(spark, sf_dir) for f in (state.live, state.instances, state.fenced)))
+    out = None
+    for policy in policies:
+        one = cluster.replica_status(*rows, policy, RF, GUARD, **more).withColumn("policy", F.lit(policy))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def replica_status(spark, sf_dir):
     """The status of every range under each acknowledgement policy."""
-    out = None
-    for policy in POLICIES:
-        one = _status(spark, sf_dir, policy).withColumn("policy", F.lit(policy))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return _status(spark, sf_dir, *POLICIES)
 
 
 def write_fence(spark, sf_dir):
@@ -55,32 +57,37 @@ def write_fence(spark, sf_dir):
 
 def policy_readiness(spark, sf_dir):
     """Ranges by whether each policy may be taken up."""
-    out = None
+    own, out = state.ranges(spark, sf_dir), None
+    followers = state.followers(spark, sf_dir, own)
     for policy in POLICIES:
-        one = cluster.policy_ready(state.ranges(spark, sf_dir), state.followers(spark, sf_dir), policy, RF, GUARD).withColumn("policy", F.lit(policy))
+        one = cluster.policy_ready(own, followers, policy, RF, GUARD).withColumn("policy", F.lit(policy))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def required_followers(spark, sf_dir):
     """For every key, whom a write waits for, under the policy of the first successor."""
-    found = cluster.required_followers(data.keys(spark, sf_dir), state.ranges(spark, sf_dir), state.followers(spark, sf_dir), cluster.FIRST_SUCCESSOR, RF, GUARD)
+    own = state.ranges(spark, sf_dir)
+    found = cluster.required_followers(data.keys(spark, sf_dir), own, state.followers(spark, sf_dir, own), cluster.FIRST_SUCCESSOR, RF, GUARD)
     return found.select("key", F.array_join("required", "|").alias("required"), "error")
 
 
 def reconcile_repairs(spark, sf_dir):
-    return cluster.reconciled(state.ranges(spark, sf_dir), state.instances(spark, sf_dir), state.admissions(spark, sf_dir), state.repairs(spark, sf_dir), EPOCH)
+    own = state.ranges(spark, sf_dir)
+    return cluster.reconciled(own, state.instances(spark, sf_dir), state.admissions(spark, sf_dir, own), state.repairs(spark, sf_dir, own), EPOCH)
 
 
 def missing_streams(spark, sf_dir):
     """Streams that a change from ten members to nine needs, and that aren't there."""
-    return cluster.missing_streams(state.ranges(spark, sf_dir), state.ranges(spark, sf_dir, MEMBERS - 1), state.admissions(spark, sf_dir), 1)
+    own = state.ranges(spark, sf_dir)
+    return cluster.missing_streams(own, state.ranges(spark, sf_dir, MEMBERS - 1), state.admissions(spark, sf_dir, own), 1)
 
 
 def consistency_rules(spark, sf_dir):
     """Violations of each rule of a state."""
-    rows = (f(spark, sf_dir) for f in (state.ranges, state.instances, state.fenced, state.admissions, state.repairs))
-    return cluster.state_violations(*rows, EPOCH).groupBy("rule").agg(F.count("*").alias("violations"))
+    own = state.ranges(spark, sf_dir)
+    rows = (state.instances(spark, sf_dir), state.fenced(spark, sf_dir), state.admissions(spark, sf_dir, own), state.repairs(spark, sf_dir, own))
+    return cluster.state_violations(own, *rows, EPOCH).groupBy("rule").agg(F.count("*").alias("violations"))
 
 
 def status_of_keys(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annulus.functions.tokens import portable_token
 from annulus.operators import cluster
+from annulus.shared import checkpointed
 from annulus.sources import datasets as data
 
 EPOCH, NOW = 5, 1_000_000
@@ -24,7 +25,8 @@ def _nodes(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
 
 
 def ranges(spark: SparkSession, sf_dir: str, n: int = MEMBERS) -> DataFrame:
-    return data.ranges_of(spark, sf_dir, n, VNODES, RF)
+    """The ranges of the first n nations, kept in the shared folder: much is made from these few rows."""
+    return checkpointed(data.ranges_of(spark, sf_dir, n, VNODES, RF))
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +59,10 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(named("t", "target"), "t").join(named("r", "reporter"), "r").select("target", "reporter", "first_seen", "last_seen")
 
 
-def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def admissions(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
     """Most followers are admitted; some by a process that is gone, some in another epoch, some without a digest, some twice."""
-    each = cluster.tasks(ranges(spark, sf_dir)).join(_nodes(spark, sf_dir, MEMBERS), "node_id").withColumn("h", _draw("a", F.col("end"), F.col("node_id"))).filter("h % 6 <> 0")
+    own = own if own is not None else ranges(spark, sf_dir)
+    each = cluster.tasks(own).join(_nodes(spark, sf_dir, MEMBERS), "node_id").withColumn("h", _draw("a", F.col("end"), F.col("node_id"))).filter("h % 6 <> 0")
     made = each.select(
         *cluster.TASK,
         F.when(F.col("h") % 41 == 1, EPOCH - 1).otherwise(EPOCH).alias("epoch"),
@@ -70,20 +73,23 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.unionByName(made.filter(_draw("a2", F.col("end"), F.col("node_id")) % 60 == 0))
 
 
-def repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def repairs(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
     """Most followers have a repair, and some nodes that follow no more."""
-    each = cluster.tasks(ranges(spark, sf_dir)).withColumn("h", _draw("r", F.col("end"), F.col("node_id"))).filter("h % 8 <> 0")
+    own = own if own is not None else ranges(spark, sf_dir)
+    each = cluster.tasks(own).withColumn("h", _draw("r", F.col("end"), F.col("node_id"))).filter("h % 8 <> 0")
     phase = F.when(F.col("h") % 8 < 5, "Complete").when(F.col("h") % 8 < 7, "Pending").otherwise("Copying")
     made = each.select(*cluster.TASK, F.when(F.col("h") % 47 == 3, EPOCH - 1).otherwise(EPOCH).alias("epoch"), phase.alias("phase"))
-    stray = ranges(spark, sf_dir).filter(_draw("s", F.col("end")) % 10 == 0).select("start", "end", "owner", F.col("owner").alias("node_id"), F.lit(EPOCH).alias("epoch"), F.lit("Pending").alias("phase"))
+    stray = own.filter(_draw("s", F.col("end")) % 10 == 0).select("start", "end", "owner", F.col("owner").alias("node_id"), F.lit(EPOCH).alias("epoch"), F.lit("Pending").alias("phase"))
     return made.unionByName(stray)
 
 
-def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+def progress(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
     """Streams that answer, some behind."""
-    pairs = cluster.tasks(ranges(spark, sf_dir)).select("owner", "node_id").distinct().withColumn("h", _draw("p", F.col("owner"), F.col("node_id"))).filter("h % 11 <> 0")
+    pairs = cluster.tasks(own if own is not None else ranges(spark, sf_dir)).select("owner", "node_id").distinct().withColumn("h", _draw("p", F.col("owner"), F.col("node_id"))).filter("h % 11 <> 0")
     return pairs.select("owner", "node_id", F.lit(1000).cast("long").alias("head"), (F.lit(1000) - F.when(F.col("h") % 9 == 0, 5).otherwise(0)).cast("long").alias("cursor"), (F.col("h") % 800).alias("lag_millis"))
 
 
-def followers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.follower_status(ranges(spark, sf_dir), live(spark, sf_dir), instances(spark, sf_dir), fenced(spark, sf_dir), admissions(spark, sf_dir).distinct(), repairs(spark, sf_dir), progress(spark, sf_dir), GUARD)
+def followers(spark: SparkSession, sf_dir: str, own: DataFrame | None = None) -> DataFrame:
+    own = own if own is not None else ranges(spark, sf_dir)
+    found = cluster.follower_status(own, live(spark, sf_dir), instances(spark, sf_dir), fenced(spark, sf_dir), admissions(spark, sf_dir, own).distinct(), repairs(spark, sf_dir, own), progress(spark, sf_dir, own), GUARD)
+    return checkpointed(found)
