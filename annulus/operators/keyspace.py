@@ -71,10 +71,16 @@ def stretch_end(ranges: DataFrame, node: str, start: int) -> DataFrame:
     return other.agg(F.min(F.greatest(begins, F.lit(start))).alias("next"))
 
 
+def stretch(records: DataFrame, ranges: DataFrame, node: str, start: int) -> DataFrame:
+    """All records from a token to the first range of another node, live or not: a filter, with no limit and no order."""
+    end = stretch_end(ranges, node, start).first()["next"]
+    ahead = records.filter(F.col("token") >= start)
+    return ahead if end is None else ahead.filter(F.col("token") < end)
+
+
 def one_stretch(records: DataFrame, ranges: DataFrame, node: str, start: int, max_keys: int, max_bytes: int) -> DataFrame:
     """A page of the live keys from a token on that stops at the first range of another node."""
-    end = stretch_end(ranges, node, start).first()["next"]
-    return page(records if end is None else records.filter(F.col("token") < end), start, max_keys, max_bytes)
+    return page(stretch(records, ranges, node, start), start, max_keys, max_bytes)
 
 
 def only_strings(records: DataFrame, kind: str) -> DataFrame:
